@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mergelens.llm import generated_files
+from mergelens.llm import generated_files, splitting
 from mergelens.plans.registry import Registry
 from mergelens.sources.tables import scan
 
@@ -21,3 +21,27 @@ def p1_found(spark, sf_dir):
 def p1_classes(spark, sf_dir):
     files = scan(spark, sf_dir, "file_diffs").select("diff_id", "file_path", "patch")
     return generated_files.classify_files(files).select("diff_id", "file_path", "file_class")
+
+
+_LONG_ITEMS = """
+WITH items AS (
+  SELECT 'patch' AS item_kind, diff_id AS row_id, 0 AS hunk_no, patch AS item_text FROM file_diffs
+  UNION ALL
+  SELECT 'diff_content', prompt_id, 0, diff_content FROM review_prompts
+  UNION ALL
+  SELECT 'hunk', diff_id, i, array_to_string(list_concat([coalesce(hunks[i].header, '')], list_transform(coalesce(hunks[i].lines, []), x -> concat(CASE upper(x.type) WHEN 'ADDED' THEN '+' WHEN 'REMOVED' THEN '-' ELSE ' ' END, x.content))), chr(10))
+  FROM (SELECT diff_id, hunks, CAST(unnest(range(1, len(hunks) + 1)) AS INTEGER) AS i FROM file_diffs)
+)
+SELECT item_kind, row_id, hunk_no FROM items JOIN size_limits USING (item_kind) WHERE length(item_text) > max_chars
+"""
+
+
+@REGISTRY.query("p2_found", _LONG_ITEMS)
+def p2_found(spark, sf_dir):
+    cut = splitting.split_review_items(*(scan(spark, sf_dir, t) for t in ("file_diffs", "review_prompts", "size_limits")), with_text=False)
+    return cut.where(F.col("piece_no") == 2).select("item_kind", "row_id", "hunk_no")
+
+
+@REGISTRY.query("p2_pieces")
+def p2_pieces(spark, sf_dir):
+    return splitting.split_review_items(*(scan(spark, sf_dir, t) for t in ("file_diffs", "review_prompts", "size_limits")))
