@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mergelens.llm import generated_files, splitting
+from mergelens.llm import credentials, generated_files, splitting
 from mergelens.plans.registry import Registry
 from mergelens.sources.tables import scan
 
@@ -45,3 +45,15 @@ def p2_found(spark, sf_dir):
 @REGISTRY.query("p2_pieces")
 def p2_pieces(spark, sf_dir):
     return splitting.split_review_items(*(scan(spark, sf_dir, t) for t in ("file_diffs", "review_prompts", "size_limits")))
+
+
+@REGISTRY.query("p4_found")
+def p4_found(spark, sf_dir):
+    texts = credentials.code_texts(scan(spark, sf_dir, "file_diffs"), scan(spark, sf_dir, "review_prompts"))
+    return credentials.credential_lines(texts, "code", ["item_kind", "row_id"])
+
+
+@REGISTRY.query("p4_redacted")
+def p4_redacted(spark, sf_dir):
+    texts = credentials.code_texts(scan(spark, sf_dir, "file_diffs"), scan(spark, sf_dir, "review_prompts"))
+    return credentials.redact_credentials(texts, "code")
