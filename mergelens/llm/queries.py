@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mergelens.llm import credentials, generated_files, splitting
+from mergelens.llm import credentials, generated_files, mixing, percentiles, splitting, tokens
 from mergelens.plans.registry import Registry
+from mergelens.session import cut_lineage
 from mergelens.sources.tables import scan
 
 REGISTRY = Registry()
@@ -57,3 +58,65 @@ def p4_found(spark, sf_dir):
 def p4_redacted(spark, sf_dir):
     texts = credentials.code_texts(scan(spark, sf_dir, "file_diffs"), scan(spark, sf_dir, "review_prompts"))
     return credentials.redact_credentials(texts, "code")
+
+
+def _latency_summaries(spark, sf_dir):
+    """Summaries of days, kept, and of all days, with the span they are for."""
+    calls = percentiles.call_latencies(scan(spark, sf_dir, "review_results"))
+    daily = cut_lineage(percentiles.summaries(calls, ["provider", "day"], "latency_ms"))
+    total = percentiles.combine(daily, ["provider"], [F.trunc("day", "month")])
+    return calls, daily.withColumn("span", F.lit("day")).unionByName(total.withColumn("span", F.lit("total")).withColumn("day", F.lit(None).cast("date")))
+
+
+@REGISTRY.query("p6_percentiles")
+def p6_percentiles(spark, sf_dir):
+    _, parts = _latency_summaries(spark, sf_dir)
+    return percentiles.percentiles(parts, ["provider", "span", "day"])
+
+
+@REGISTRY.query(
+    "p6_within_bound",
+    """
+WITH calls AS (
+  SELECT DISTINCT result_id, nullif(split_part(trim(provider), ' ', 1), '') AS provider, CAST(created_at AS DATE) AS day, latency_ms FROM review_results WHERE latency_ms >= 0
+)
+SELECT provider, 'day' AS span, day, count(*) AS n, true AS within FROM calls GROUP BY ALL
+UNION ALL
+SELECT provider, 'total', NULL, count(*), true FROM calls GROUP BY ALL
+""",
+)
+def p6_within_bound(spark, sf_dir):
+    """Whether each percentile's exact rank is within the stated bound, and that within the permitted part of the count."""
+    calls, parts = _latency_summaries(spark, sf_dir)
+    got = cut_lineage(percentiles.percentiles(parts, ["provider", "span", "day"]))
+    both = calls.where("latency_ms >= 0").withColumn("spans", F.array(F.struct(F.lit("day").alias("span"), F.col("day").alias("day")), F.struct(F.lit("total").alias("span"), F.lit(None).cast("date").alias("day"))))
+    both = both.select(F.col("provider").alias("p"), "latency_ms", F.explode("spans").alias("s")).select("p", F.col("s.span").alias("sp"), F.col("s.day").alias("d"), "latency_ms")
+    joined = both.join(got, F.col("p").eqNullSafe(F.col("provider")) & (F.col("sp") == F.col("span")) & F.col("d").eqNullSafe(F.col("day")))
+    names = list(percentiles.QUANTILES)
+    ranks = [F.count_if(F.col("latency_ms") < F.col(k)).alias(f"{k}_below") for k in names] + [F.count_if(F.col("latency_ms") <= F.col(k)).alias(f"{k}_upto") for k in names]
+    exact = joined.groupBy("provider", "span", "day", "n", "max_rank_error").agg(F.count(F.lit(1)).alias("rows"), *ranks)
+    within = (F.col("rows") == F.col("n")) & (F.col("max_rank_error") <= F.ceil(percentiles.EPSILON * F.col("n")))
+    for k, q in percentiles.QUANTILES.items():
+        rank = F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("n") - 1e-9))
+        within &= (F.col(f"{k}_below") + 1 - rank <= F.col("max_rank_error")) & (rank - F.col(f"{k}_upto") <= F.col("max_rank_error"))
+    return exact.select("provider", "span", "day", F.col("n").cast("bigint").alias("n"), within.alias("within"))
+
+
+@REGISTRY.query("p7_ids")
+def p7_ids(spark, sf_dir):
+    return tokens.encode_corpus(scan(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids")
+
+
+def _mix(spark, sf_dir):
+    sizes = mixing.token_sizes(scan(spark, sf_dir, "documents"), tokens.count_column)
+    return mixing.mix(sizes, scan(spark, sf_dir, "mix_targets"))
+
+
+@REGISTRY.query("p8_mix")
+def p8_mix(spark, sf_dir):
+    return _mix(spark, sf_dir)
+
+
+@REGISTRY.query("p8_report")
+def p8_report(spark, sf_dir):
+    return mixing.mix_report(_mix(spark, sf_dir), scan(spark, sf_dir, "mix_targets"))
