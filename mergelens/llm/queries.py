@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mergelens.llm import credentials, generated_files, mixing, percentiles, splitting, tokens
+from mergelens.llm import credentials, generated_files, mixing, percentiles, splitting, tokens, truncation
 from mergelens.plans.registry import Registry
 from mergelens.session import cut_lineage
 from mergelens.sources.tables import scan
@@ -120,3 +120,17 @@ def p8_mix(spark, sf_dir):
 @REGISTRY.query("p8_report")
 def p8_report(spark, sf_dir):
     return mixing.mix_report(_mix(spark, sf_dir), scan(spark, sf_dir, "mix_targets"))
+
+
+def _truncation(spark, sf_dir):
+    return truncation.detect_truncation(truncation.review_texts(scan(spark, sf_dir, "review_requests"), scan(spark, sf_dir, "model_replies")))
+
+
+@REGISTRY.query("p3_found")
+def p3_found(spark, sf_dir):
+    return _truncation(spark, sf_dir).where("truncated").select("field", "row_id").distinct()
+
+
+@REGISTRY.query("p3_rates")
+def p3_rates(spark, sf_dir):
+    return truncation.truncation_rates(_truncation(spark, sf_dir))
