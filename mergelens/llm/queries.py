@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mergelens.llm import credentials, generated_files, mixing, percentiles, splitting, tokens, truncation
+from mergelens.llm import credentials, generated_files, mixing, percentiles, reading, splitting, tokens, truncation
 from mergelens.plans.registry import Registry
 from mergelens.session import cut_lineage
 from mergelens.sources.tables import scan
@@ -134,3 +134,19 @@ def p3_found(spark, sf_dir):
 @REGISTRY.query("p3_rates")
 def p3_rates(spark, sf_dir):
     return truncation.truncation_rates(_truncation(spark, sf_dir))
+
+
+def _levels(spark, sf_dir):
+    return reading.reading_levels(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "reading_samples"))
+
+
+@REGISTRY.query("p9_found")
+def p9_found(spark, sf_dir):
+    return _levels(spark, sf_dir).where("band = 'demanding'").select("doc_id").distinct()
+
+
+@REGISTRY.query("p9_profile")
+def p9_profile(spark, sf_dir):
+    """Documents and mean score per language as written and band."""
+    levels = _levels(spark, sf_dir).join(scan(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return levels.groupBy("lang", "band").agg(F.count(F.lit(1)).alias("documents"), F.round(F.avg("score"), 3).alias("mean_score"))

@@ -53,7 +53,9 @@ def _flat(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0.0], np.cumsum(values)])[starts])
+    if not len(values):
+        return np.zeros(len(starts) - 1)
+    return np.where(np.diff(starts) > 0, np.add.reduceat(values, np.minimum(starts[:-1], len(values) - 1)), 0.0)
 
 
 def _node_sums(graph: DataFrame, score: np.ndarray | None, weight: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
