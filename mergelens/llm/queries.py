@@ -30,7 +30,7 @@ WITH items AS (
   UNION ALL
   SELECT 'diff_content', prompt_id, 0, diff_content FROM review_prompts
   UNION ALL
-  SELECT 'hunk', diff_id, i, array_to_string(list_concat([coalesce(hunks[i].header, '')], list_transform(coalesce(hunks[i].lines, []), x -> concat(CASE upper(x.type) WHEN 'ADDED' THEN '+' WHEN 'REMOVED' THEN '-' ELSE ' ' END, x.content))), chr(10))
+  SELECT 'hunk', diff_id, i, array_to_string(list_concat([coalesce(hunks[i].header, '')], list_transform(coalesce(hunks[i].lines, []), lambda x: concat(CASE upper(x.type) WHEN 'ADDED' THEN '+' WHEN 'REMOVED' THEN '-' ELSE ' ' END, x.content))), chr(10))
   FROM (SELECT diff_id, hunks, CAST(unnest(range(1, len(hunks) + 1)) AS INTEGER) AS i FROM file_diffs)
 )
 SELECT item_kind, row_id, hunk_no FROM items JOIN size_limits USING (item_kind) WHERE length(item_text) > max_chars

@@ -61,7 +61,7 @@ def test_blank_and_null_are_no_cases(judged):
 
 def test_rates(spark, judged):
     rates = {r.source: r for r in X.truncation_rates(spark.createDataFrame(judged[0])).collect()}
-    assert rates["mirror"].cut_at_limit == rates["mirror"].cut > 300 and rates["hook"].cut < 30
+    assert rates["mirror"].cut_at_limit >= 0.95 * rates["mirror"].cut > 300 and rates["hook"].cut < 40
 
 
 def test_empty_table(spark):
