@@ -84,28 +84,47 @@ def word_pairs(texts: DataFrame) -> DataFrame:
     return _words(texts).groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n"), F.count_if("last").alias("n_last"))
 
 
+#: The last words are looked for in the last so many code points; a longer last word counts by its end.
+TAIL = 400
+
+
 def last_words(text: Column) -> tuple[Column, Column]:
     """The last word and its predecessor (or the line start)."""
-    tail = F.filter(F.split(normal(text), " "), lambda w: w != "")
-    return F.try_element_at(tail, F.lit(-1)), F.coalesce(F.try_element_at(tail, F.lit(-2)), F.lit(_LINE))
+    tail = F.filter(F.split(normal(F.right(text, F.lit(TAIL))), " "), lambda w: w != "")
+    return F.coalesce(F.try_element_at(tail, F.lit(-1)), F.lit("")), F.coalesce(F.try_element_at(tail, F.lit(-2)), F.lit(_LINE))
+
+
+def shape(text: Column) -> Column:
+    """The ending class that the text shows by itself, or null where its last words must be looked up."""
+    return (
+        F.when(F.coalesce(text, F.lit("")).rlike(r"^(?U)\s*$"), "blank")
+        .when(text.rlike(_MARK), "mark")
+        .when(open_structure(text), "open")
+        .when(text.rlike(r"\.\.\.\s*$"), "dots")
+        .when(text.rlike(_CLOSED), "closed")
+    )
+
 
+def compact(texts: DataFrame) -> DataFrame:
+    """What is kept of each text, by ``field`` and ``row_id``: no more than its last two words."""
+    text = F.col("text")
+    last, prev = last_words(text)
+    facts = F.struct("source", F.length(text).cast("bigint").alias("length"), F.xxhash64(text).alias("h"), shape(text).alias("shape"), last.alias("end_word"), prev.alias("end_prev"))
+    return texts.where("row_id IS NOT NULL").groupBy("field", "row_id").agg(F.min(facts).alias("f")).select("field", "row_id", "f.*")
 
-def endings(texts: DataFrame) -> DataFrame:
-    """``texts`` with ``ending``, a class of ``ENDINGS`` or ``blank``.
 
-    ``texts`` has a column ``text``; the pairs are counted over all of it."""
+def endings(facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """``facts`` with ``ending``, a class of ``ENDINGS`` or ``blank``; pairs of words are counted over all ``texts``."""
     pairs = cut_lineage(word_pairs(texts))
     words = pairs.groupBy("word").agg(F.sum("n").alias("w_n"), F.sum("n_last").alias("w_last"))
-    last, prev = last_words(F.col("text"))
-    ends = texts.withColumn("end_word", F.coalesce(last, F.lit(""))).withColumn("end_prev", prev)
-    asked = ends.where(~F.col("text").rlike(_CLOSED)).select("end_prev", "end_word").distinct()
+    asked = facts.where("shape IS NULL").select("end_prev", "end_word").distinct()
     longer = (
         pairs.where(F.length("word") > 1)
         .select("prev", "n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(FRAGMENT))), lambda k: F.left(F.col("word"), k))).alias("head"))
         .groupBy("prev", "head")
         .agg(F.sum("n").alias("longer_n"))
     )
-    facts = (
+    known = (
         asked.join(pairs.select(F.col("prev").alias("end_prev"), F.col("word").alias("end_word"), "n", "n_last"), ["end_prev", "end_word"], "left")
         .join(words.withColumnRenamed("word", "end_word"), "end_word", "left")
         .join(longer.select(F.col("prev").alias("end_prev"), F.col("head").alias("end_word"), "longer_n"), ["end_prev", "end_word"], "left")
@@ -114,17 +133,8 @@ def endings(texts: DataFrame) -> DataFrame:
     ratio = (F.col("n_last") + 2 * F.col("w_last") / F.col("w_n")) / (F.col("n") + 2)
     fragment = (F.coalesce(F.col("longer_n"), F.lit(0)) >= 3 * F.col("n")) & (F.col("n_last") >= 0.5 * F.col("n"))
     kind = F.when(fragment, "fragment").when(ratio < 0.35, "middle").when((ratio > 0.75) & (F.col("n") >= 2), "line").otherwise("unsure")
-    kinds = facts.select("end_prev", "end_word", kind.alias("by_words"))
-    text = F.col("text")
-    label = (
-        F.when(F.coalesce(F.trim(text), F.lit("")).rlike(r"^(?U)\s*$"), "blank")
-        .when(text.rlike(_MARK), "mark")
-        .when(open_structure(text), "open")
-        .when(text.rlike(r"\.\.\.\s*$"), "dots")
-        .when(text.rlike(_CLOSED), "closed")
-        .otherwise(F.coalesce("by_words", F.lit("unsure")))
-    )
-    return ends.join(kinds, ["end_prev", "end_word"], "left").withColumn("ending", label).drop("end_prev", "end_word", "by_words")
+    kinds = known.select("end_prev", "end_word", kind.alias("by_words"))
+    return facts.join(kinds, ["end_prev", "end_word"], "left").withColumn("ending", F.coalesce("shape", "by_words", F.lit("unsure"))).drop("end_prev", "end_word", "by_words", "shape")
 
 
 def _phi(x: float) -> float:
@@ -177,14 +187,14 @@ def _fit(own: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in _LIMITS.split(", ")])
 
 
-def censoring_limits(texts: DataFrame) -> DataFrame:
+def censoring_limits(facts: DataFrame) -> DataFrame:
     """Limits of each ``field`` and ``source``: ``length``, ``censored`` (the part of the
     texts of that length that the fit calls cut), ``mu``, ``sigma`` and ``texts``.
 
     A task fits one source from its histogram, a row per distinct length; equal texts
     count once, so that a stock phrase is no limit."""
-    lengths = texts.where(F.length("text") > 0).select("field", "source", F.length("text").cast("bigint").alias("length"), F.xxhash64("text").alias("h"))
-    histogram = lengths.groupBy("field", "source", "length", "h").agg(F.lit(1).alias("one")).groupBy("field", "source", "length").agg(F.count(F.lit(1)).alias("n"))
+    lengths = facts.where("length > 0").select("field", "source", "length", "h").distinct()
+    histogram = lengths.groupBy("field", "source", "length").agg(F.count(F.lit(1)).alias("n"))
     around = Window.partitionBy("field", "source").orderBy("length").rangeBetween(-NEARBY, NEARBY)
     # the mean of the lengths nearby without the largest three, which may be limits themselves
     others = F.slice(F.array_sort(F.collect_list("n").over(around)), 1, 2 * NEARBY + 1)
@@ -225,16 +235,19 @@ def _maximise(own: pd.DataFrame) -> pd.DataFrame:
 
 
 def detect_truncation(texts: DataFrame) -> DataFrame:
-    """``texts`` (``field``, ``row_id``, ``source``, ``text``, one row per text) with
-    ``ending``, ``limit_length`` (the source's limit the text ends at, or null),
+    """Of ``texts`` (``field``, ``row_id``, ``source``, ``text``) each ``field`` and ``row_id`` with
+    ``source``, ``length``, ``ending``, ``limit_length`` (the source's limit the text ends at, or null),
     ``posterior`` and ``truncated``.
 
     Null, empty and blank texts are never cut off: posterior 0. Null sources are a
-    source. Equal texts are judged alike. An empty table gives no rows.
+    source. Equal texts are judged alike. Rows without an id are left out; of several
+    rows of one id the least by source, length and text counts. An empty table gives
+    no rows.
     """
     base = texts.select("field", "row_id", F.coalesce("source", F.lit("")).alias("source"), "text")
-    limits = cut_lineage(censoring_limits(base))
-    judged = cut_lineage(endings(base).withColumn("length", F.length("text").cast("bigint")).drop("text"))
+    facts = cut_lineage(compact(base))
+    limits = cut_lineage(censoring_limits(facts))
+    judged = cut_lineage(endings(facts, base))
     marked = judged.join(limits.select("field", "source", "length", "censored", F.col("length").alias("limit_length")), ["field", "source", "length"], "left")
     table = marked.groupBy("field", "source", F.col("limit_length").alias("length"), "ending").agg(F.count(F.lit(1)).alias("n"), F.max("censored").alias("censored"))
     odds = table.groupBy("field").applyInPandas(_maximise, _ODDS)
@@ -251,7 +264,6 @@ def truncation_rates(judged: DataFrame) -> DataFrame:
 
 def review_texts(requests: DataFrame, replies: DataFrame) -> DataFrame:
     """Bodies by intake and replies by provider (the name before any note); an id counts once."""
-    body = requests.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("updated_at", "intake", "pr_body")).alias("r"))
-    body = body.select(F.lit("pr_body").alias("field"), F.col("id").alias("row_id"), F.col("r.intake").alias("source"), F.col("r.pr_body").alias("text"))
+    body = requests.select(F.lit("pr_body").alias("field"), F.col("id").alias("row_id"), F.col("intake").alias("source"), F.col("pr_body").alias("text"))
     reply = replies.select(F.lit("content").alias("field"), F.col("reply_id").alias("row_id"), F.regexp_extract("provider", r"^\s*(\S+)", 1).alias("source"), F.col("content").alias("text"))
     return body.unionByName(reply)
