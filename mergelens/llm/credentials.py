@@ -396,6 +396,10 @@ def _found_lines(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([None if t is None else sorted({no for no, _, _ in find(t)}) for t in texts], dtype=object)
 
 
+#: A deterministic function would be run once more, in a filter on the size of its result.
+_found_lines = _found_lines.asNondeterministic()
+
+
 @F.pandas_udf(T.StringType())
 def _redacted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
