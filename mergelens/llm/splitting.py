@@ -122,6 +122,10 @@ def _split(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterato
         yield pd.Series([None if t is None else [{"start": a, "end": b} for a, b in pieces(t, int(n), int(o))] for t, n, o in zip(texts, sizes, overlaps)], dtype=object)
 
 
+#: A deterministic function would be run once more, in a filter on the size of its result.
+_split = _split.asNondeterministic()
+
+
 def split_items(df: DataFrame, text: str, size: Column, overlap: Column, keys: list[str], with_text: bool = True, only_cut: bool = False) -> DataFrame:
     """One row per piece: ``keys``, ``piece_no`` from 1, ``start_char`` (from 0),
     ``end_char``, and with ``with_text`` the ``piece``; with ``only_cut`` no rows of
