@@ -59,13 +59,15 @@ def normal(text: Column) -> Column:
 def open_structure(text: Column) -> Column:
     """Whether a code fence, or a bracket or string of structured text, is still open at the end.
 
-    Strings count in texts that hold an array or object start; a stray quote in prose doesn't."""
-    fences = F.size(F.split(text, "```")) % 2 == 0
-    structured = text.rlike(r"(^|[\s`:])[\[{]\s*[\[{\"']")
+    Strings count in texts that hold an array or object start; a stray quote in prose doesn't,
+    nor does one before the last closing bracket."""
+    fences = (F.length(text) - F.length(F.replace(text, F.lit("```"), F.lit("")))) / 3 % 2 == 1
+    structured = (F.contains(text, F.lit("[")) | F.contains(text, F.lit("{"))) & text.rlike(r"(^|[\s`:])[\[{]\s*[\[{\"']")
     bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', "")
-    count = lambda pattern: F.length(bare) - F.length(F.regexp_replace(bare, pattern, ""))
-    brackets = (count(r"[\[{]") > count(r"[\]}]")) | (F.contains(bare, F.lit('"')) & ~text.rlike(r"[\]}]\s*(```)?[^\"\[{]*$"))
-    return fences | (structured & brackets)
+    rest = F.substring_index(F.translate(text, "}", "]"), "]", -1)  # behind the last closing bracket
+    count = lambda b, signs: F.length(b) - F.length(F.translate(b, signs, ""))
+    left = lambda b: (count(b, "[{") > count(b, "]}")) | (F.contains(b, F.lit('"')) & ((F.length(rest) == F.length(text)) | (F.length(F.translate(rest, '"[{', "")) < F.length(rest))))
+    return fences | (structured & F.transform(F.array(bare), left)[0])  # the array makes it read once
 
 
 def _words(texts: DataFrame) -> DataFrame:
@@ -84,7 +86,7 @@ def word_pairs(texts: DataFrame) -> DataFrame:
     return _words(texts).groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n"), F.count_if("last").alias("n_last"))
 
 
-#: The last words are looked for in the last so many code points; a longer last word counts by its end.
+#: Ends are read in the last so many code points; a longer last word counts by its end.
 TAIL = 400
 
 
@@ -96,12 +98,13 @@ def last_words(text: Column) -> tuple[Column, Column]:
 
 def shape(text: Column) -> Column:
     """The ending class that the text shows by itself, or null where its last words must be looked up."""
+    end = F.right(text, F.lit(TAIL))
     return (
         F.when(F.coalesce(text, F.lit("")).rlike(r"^(?U)\s*$"), "blank")
-        .when(text.rlike(_MARK), "mark")
+        .when(end.rlike(_MARK), "mark")
         .when(open_structure(text), "open")
-        .when(text.rlike(r"\.\.\.\s*$"), "dots")
-        .when(text.rlike(_CLOSED), "closed")
+        .when(end.rlike(r"\.\.\.\s*$"), "dots")
+        .when(end.rlike(_CLOSED), "closed")
     )
 
 
