@@ -69,7 +69,7 @@ _ABOUT = re.compile(
 )
 #: All patterns from here on are matched at a known place, never searched for along a line.
 _REST = _NAME_PART + r"[A-Za-z0-9_$-]*"
-_QUOTED = r"(?P<q>\"\"\"|[\"'`])(?P<val>(?:\\.|(?!(?P=q)).)*)(?P=q)"
+_QUOTED = r"(?P<q>\"\"\"|[\"'`])(?P<val>(?:\\.|(?!(?P=q))[^\\])*+)(?P=q)"
 #: name = "value", name: 'value', "name": "value", name := `value`, name => "value", ["name"] = "value"
 _ASSIGN = re.compile(rf"{_REST}[\"'`]?\]?\s*(?::\s*[A-Za-z][\w.<>?]*\s*)?(?::=|=>|=(?![=~])|:)\s*\(?\s*(?:[A-Za-z]{{1,2}}(?=[\"']))?{_QUOTED}", re.IGNORECASE)
 #: name=value and name: value without quotes, up to white space or a separator
@@ -94,7 +94,7 @@ _COMMANDS = (
     re.compile(r"(?:curl|wget)\b.{0,400}?\s(?:-u|--user|--auth)[\s=]+[\"']?[^\s:\"']+:(?P<val>[^\s\"']+)"),
     re.compile(r"--(?:password|token|secret|api-key|access-token|client-secret)(?:=|\s+)[\"']?(?P<val>[^\s\"']+)"),
     re.compile(r"machine\s+\S+\s+login\s+\S+\s+password\s+(?P<val>\S+)"),
-    re.compile(r"identified\s+(?:with\s+\S+\s+)?by\s+(?P<q>[\"'])(?P<val>(?:\\.|(?!(?P=q)).)*)(?P=q)", re.IGNORECASE),
+    re.compile(r"identified\s+(?:with\s+\S+\s+)?by\s+(?P<q>[\"'])(?P<val>(?:\\.|(?!(?P=q))[^\\])*+)(?P=q)", re.IGNORECASE),
     re.compile(r"password\s+'(?P<val>[^']+)'", re.IGNORECASE),
 )
 #: Remarks, matched from their first word on.
@@ -117,7 +117,7 @@ _PLACE = re.compile(
     r"^(?:[x*.?#_-]{3,}|(.)\1{5,}|.*(?:\$\{|\{\{|\$\(|#\{|%\(|@\{|<%|%[sdv]\b).*|<.*>|\[.*\]|\$\w+|%\w+%|\{\w+\})$",
     re.IGNORECASE,
 )
-_WORDS = re.compile(r"^(?:your|my|the|an?|insert|replace|change|enter|put|add|set|some|any|dummy|sample|example|test|fake|todo|fixme|tbd|redacted|hidden|masked|removed|none|null|nil|undefined|true|false|xxx+|placeholder|default|secret|password|passwd|token|key|value|here|me|it|this|in|to|by|with|from|api|access|auth)(?:[\s_.-]*[a-z]*)*$", re.IGNORECASE)
+_WORDS = re.compile(r"^(?:your|my|the|an?|insert|replace|change|enter|put|add|set|some|any|dummy|sample|example|test|fake|todo|fixme|tbd|redacted|hidden|masked|removed|none|null|nil|undefined|true|false|xxx+|placeholder|default|secret|password|passwd|token|key|value|here|me|it|this|in|to|by|with|from|api|access|auth)[a-z\s_.-]*$", re.IGNORECASE)
 _REFER = re.compile(r"^(?:file|vault|kms|arn|env|ssm|asm|secretsmanager|secretmanager|op|gcp|gcpkms|aws|awskms|azure|keyvault|akv|sops|keyring|keychain|secret|secrets|ref|refs|k8s|kubernetes|config|configmap|projects|parameter|consul|doppler|infisical|bitwarden|pass)[:/]|^(?:https?|ftp)://[^@]*$|^(?:process\.env|os\.environ|System\.getenv|ENV\b|env\.|config\.|settings\.|secrets?\.|vars?\.|params?\.|args?\.|self\.|this\.)", re.IGNORECASE)
 _PATH = re.compile(r"^(?:~|\.{1,2})?/?(?:[\w.-]+/)+[\w.-]*$")
 _UUID = re.compile(r"^[{(]?[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}[)}]?$", re.IGNORECASE)
@@ -129,20 +129,25 @@ _PUBLIC = re.compile(r"^(?:ssh-(?:rsa|ed25519|dss)|ecdsa-|pk_(?:live|test)_|AAAA
 def _mixed(v: str) -> bool:
     """Letters whose case jumps about as in random text, not as in identifiers."""
     pairs = [(a, b) for a, b in zip(v, v[1:]) if a.isalpha() and b.isalpha()]
-    return len(pairs) >= 10 and sum(a.islower() != b.islower() for a, b in pairs) > 0.4 * len(pairs)
+    return len(pairs) >= 7 and sum(a.islower() != b.islower() for a, b in pairs) > 0.4 * len(pairs)
 
 
-def live(value: str, shortest: int = 6) -> bool:
-    """Whether a literal can be a credential's value, not a placeholder, reference, hash, id or word."""
+def given(value: str, shortest: int = 6) -> bool:
+    """Whether a value that stands where only a credential can isn't a placeholder, reference, hash, id or public key."""
     v = value.strip().rstrip("\r")
     if len(v) < shortest or any(c.isspace() for c in v) or len(v) > 4096:
         return False
     if _PLACE.match(v) or _WORDS.match(v) or _REFER.search(v) or _UUID.match(v) or _HASHED.match(v) or _PUBLIC.match(v):
         return False
-    letters, digits = any(c.isalpha() for c in v), any(c.isdigit() for c in v)
-    marks = any(c in "!@#$%^&*+?~=|" for c in v)
-    if not letters or len(set(v)) < 4:
+    return any(c.isalpha() for c in v) and len(set(v)) >= 4
+
+
+def live(value: str, shortest: int = 6) -> bool:
+    """Whether a literal can be a credential's value: ``given``, and neither a word nor a path."""
+    v = value.strip().rstrip("\r")
+    if not given(v, shortest):
         return False
+    digits, marks = any(c.isdigit() for c in v), any(c in "!@#$%^&*+?~=|" for c in v)
     if _PATH.match(v) and "/" in v and not (marks or (digits and _mixed(v))):
         return False
     return digits or marks or _mixed(v)
@@ -242,7 +247,8 @@ def _named_at(text: str, at: int, begin: int, end: int) -> list[tuple[int, int]]
         if not m or (pattern is _AFTER and not _MARKER.fullmatch(text, begin, start)):
             continue
         name, v = text[start : at + len(_WORD.match(text, at, end)[0])], m["val"]
-        if not (_ABOUT.search(name) or _CODE.match(v) or v.startswith(("http://", "https://", "//")) or not live(v, 8)):
+        fits = given(v) if start > begin and text[start - 1] in "?&;" else live(v, 8)  # a field of an address or connection string
+        if fits and not (_ABOUT.search(name) or _CODE.match(v) or v.startswith(("http://", "https://", "//"))):
             spans.append(m.span("val"))
     if m := _DOCKER_AUTH.match(text, at, end):
         if _basic(m["val"]):
@@ -301,7 +307,7 @@ def find(text: str, diff: bool = True) -> list[tuple[int, int, int]]:
                     spans.append(m.span("val"))
             elif kind == "command":
                 for pattern in _COMMANDS:
-                    if (m := pattern.match(text, at, end)) and live(m["val"]) and not _CODE.match(m["val"]):
+                    if (m := pattern.match(text, at, end)) and given(m["val"]) and not _CODE.match(m["val"]):
                         spans.append(m.span("val"))
             elif _REMARK_LINE.match(text, body, end):
                 for pattern in _REMARKS:

@@ -127,7 +127,7 @@ _HUNK = re.compile(r"^@@ -\d+(?:,\d+)? \+(\d+)")
 
 #: Extensions of files whose content can be code that is minified or data that is saved as code.
 _CODE = re.compile(r"\.(js|mjs|cjs|jsx|ts|tsx|css|py|java|kt|kts|go|rb|rs|c|cc|cpp|h|hpp|cs|swift|php|scala|dart|lua|pl|sql)$")
-_NUMBERS = re.compile(r"^[\s\[\](){},;+-]*(?:-?(?:0x[0-9a-f]+|\d+(?:\.\d+)?(?:e[+-]?\d+)?)[\s\])}]*[,;]\s*[\[({]*\s*){6,}(?:-?(?:0x[0-9a-f]+|\d+(?:\.\d+)?))?[\s\])},;+]*$", re.IGNORECASE)
+_NUMBERS = re.compile(r"^[\s\[\](){},;+-]*(?:-?(?:0x[0-9a-f]+|\d+(?:\.\d+)?(?:e[+-]?\d+)?)[\s\])}]*[,;][\s\[({]*){6,}(?:-?(?:0x[0-9a-f]+|\d+(?:\.\d+)?))?[\s\])},;+]*$", re.IGNORECASE)
 _BLOB = re.compile(r"^[\s+(,\[]*[bru]?([\"'`])(?:[A-Za-z0-9+/=_-]{40,}|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){6,})\1[\s+,;)\]]*$")
 
 HEADER_LINES = 12

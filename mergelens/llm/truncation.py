@@ -63,7 +63,7 @@ def open_structure(text: Column) -> Column:
     nor does one before the last closing bracket."""
     fences = (F.length(text) - F.length(F.replace(text, F.lit("```"), F.lit("")))) / 3 % 2 == 1
     structured = (F.contains(text, F.lit("[")) | F.contains(text, F.lit("{"))) & text.rlike(r"(^|[\s`:])[\[{]\s*[\[{\"']")
-    bare = F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', "")
+    bare = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", ""), r'"[^"]*+"', "")  # two flat patterns: none that recurses on long strings
     rest = F.substring_index(F.translate(text, "}", "]"), "]", -1)  # behind the last closing bracket
     count = lambda b, signs: F.length(b) - F.length(F.translate(b, signs, ""))
     left = lambda b: (count(b, "[{") > count(b, "]}")) | (F.contains(b, F.lit('"')) & ((F.length(rest) == F.length(text)) | (F.length(F.translate(rest, '"[{', "")) < F.length(rest))))
@@ -223,6 +223,7 @@ def _maximise(own: pd.DataFrame) -> pd.DataFrame:
     place = pd.MultiIndex.from_arrays([own["source"].fillna(""), own["length"].fillna(-1)])
     groups = [np.flatnonzero(place == g) for g in place.unique()]
     posterior = np.zeros(len(own))
+    trust = 0.3 * n.sum() / (n.sum() + 1000)  # few texts teach little
     for step in range(60):
         a, b = prior * at_cut[kind], (1 - prior) * at_whole[kind]
         posterior = a / np.maximum(a + b, 1e-300)
@@ -233,7 +234,7 @@ def _maximise(own: pd.DataFrame) -> pd.DataFrame:
             for chances, part in ((at_cut, n * posterior), (at_whole, n * (1 - posterior))):
                 which = 0 if chances is at_cut else 1
                 got = np.bincount(kind, weights=part, minlength=len(names)) / max(part.sum(), 1e-9)
-                chances[:] = [0.7 * ENDINGS[k][which] + 0.3 * got[i] for i, k in enumerate(names)]
+                chances[:] = [(1 - trust) * ENDINGS[k][which] + trust * got[i] for i, k in enumerate(names)]
     return pd.DataFrame({"field": own["field"], "source": own["source"], "length": own["length"].astype("Int64"), "ending": own["ending"], "posterior": posterior})
 
 

@@ -19,6 +19,8 @@ LIVE = [
     ("+// old key Fiuhf5L349MqAKoEPR*UE still works", "+// old key %s still works"),
     ("+machine git.example.test login ci-bot password voHizXVOmOx", "+machine git.example.test login ci-bot password %s"),
     ("+mysql -u root -pLEH1dlFwp7GL app < dump.sql", "+mysql -u root -p%s app < dump.sql"),
+    ("+docker login -u ci -p cxpxeqfzmdoUnz registry.example.test", "+docker login -u ci -p %s registry.example.test"),
+    ("+Server=sql;User Id=app;Password=RfdtrouiDxHRDiyR;", "+Server=sql;User Id=app;Password=%s;"),
     ('+String auth = "ghp_WDCuYQ5vyPh0xT".concat("e2lDCjtMrVkmg8IXqB4cv1");', '+String auth = "%s".concat("%s");'),
     ('+auth = "ghp_" + "evZYVKQzKLP31j" + "wwS5NTU5vcDjgtNSprLCIP"', '+auth = "%s" + "%s" + "%s"'),
     ('+password = "with \\" quote 9"\n+token = "a\\"b9cdefg"', '+password = "with \\" quote 9"\n+token = "%s"'),
@@ -84,3 +86,12 @@ def test_rows(spark):
     assert sorted((r.k or 0, r.line_no) for r in credential_lines(df, "t", ["k"]).collect()) == [(0, 1), (3, 1), (3, 1), (4, 2)]
     assert {(r.k, r.t) for r in redact_credentials(df, "t").where("k < 4").collect()} == {(1, None), (2, ""), (3, f'+password = "{MASK}"')}
     assert credential_lines(df.limit(0), "t", ["k"]).count() == 0
+
+
+def test_long_words_cost_linear_time():
+    import time
+
+    began = time.time()
+    text = "\n".join(["password=your" + "a_" * 5000 + "!", "token: " + "x" * 100_000, "secret = '" + "\\n" * 50_000, "http://" + "a" * 100_000, "login " + "b " * 20_000] * 3)
+    find(text)
+    assert time.time() - began < 5

@@ -67,3 +67,9 @@ def test_rates(spark, judged):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "field string, row_id string, source string, text string")
     assert X.detect_truncation(df).count() == 0
+
+
+def test_very_long_strings_and_escapes(spark):
+    rows = [("content", "1", "a", '[{"body": "' + "x" * 300_000 + '"}]'), ("content", "2", "a", '[{"body": "' + "\\n" * 200_000 + '"}]'), ("content", "3", "a", '[{"body": "' + '\\"' * 200_000)]
+    df = spark.createDataFrame(rows, "field string, row_id string, source string, text string")
+    assert {r.row_id: r.truncated for r in X.detect_truncation(df).collect()} == {"1": False, "2": False, "3": True}
