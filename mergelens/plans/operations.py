@@ -33,7 +33,7 @@ _JUDGED = f"""{REQUESTS}, ev AS (SELECT *, {_FLAGS} FROM req), judged AS (
 
 def events(spark, sf_dir):
     """Signed event bodies as JSON, every eleventh with a signature that doesn't fit."""
-    r = requests(spark, sf_dir).selectExpr("*", *[x.strip() for x in _split(_FLAGS)])
+    r = requests(spark, sf_dir, "repository_full_name", "platform_pr_id", "title", "author", "head_sha", "base_branch", "head_branch", "created_at").selectExpr("*", *[x.strip() for x in _split(_FLAGS)])
     user = F.struct(F.col("author").alias("login"))
     pull = F.struct(F.col("platform_pr_id").alias("number"), F.col("title"), F.col("draft"), F.struct(F.col("head_branch").alias("ref"), F.col("head_sha").alias("sha")).alias("head"), F.struct(F.col("base_branch").alias("ref")).alias("base"), user.alias("user"), F.lit("unknown fields are ignored").alias("extra"))
     body = F.to_json(
@@ -91,7 +91,7 @@ def stream_webhook_counts(spark, sf_dir):
 
 def calls(spark, sf_dir):
     """Calls of providers: failed without a latency, slow above the breaker's limit."""
-    r = results(spark, sf_dir)
+    r = results(spark, sf_dir, "provider", "created_at", "latency_ms")
     return r.select(
         X.provider_name(F.coalesce("provider", F.lit("unknown"))).alias("provider"),
         F.unix_millis("created_at").alias("at_ms"),
@@ -175,8 +175,8 @@ UNION ALL SELECT 'review.cost.usd', 'provider=' || provider, CAST(coalesce(sum(i
 UNION ALL SELECT 'webhook.received.total', '', CAST(count(*) AS DOUBLE) FROM req""",
 )
 def metrics_counters(spark, sf_dir):
-    q = requests(spark, sf_dir).select(F.col("id").alias("review_request_id"), "status")
-    r = results(spark, sf_dir).withColumn("fell", F.contains(F.coalesce("provider", F.lit("")), F.lit("fallback"))).withColumn("provider", X.provider_name(F.coalesce("provider", F.lit("unknown")))).join(q, "review_request_id", "left")
+    q = requests(spark, sf_dir, "status").select(F.col("id").alias("review_request_id"), "status")
+    r = results(spark, sf_dir, "review_request_id", "provider", "latency_ms", "input_tokens", "output_tokens").withColumn("fell", F.contains(F.coalesce("provider", F.lit("")), F.lit("fallback"))).withColumn("provider", X.provider_name(F.coalesce("provider", F.lit("unknown")))).join(q, "review_request_id", "left")
     tokens = r.select("provider", "input_tokens", "output_tokens").withColumnsRenamed({"input_tokens": "input", "output_tokens": "output"}).unpivot("provider", ["input", "output"], "direction", "tokens")
     prices = r.select("provider").distinct().withColumn("input_price", F.lit(2)).withColumn("output_price", F.lit(8))
     parts = [
@@ -210,5 +210,5 @@ def request_final_status(spark, sf_dir):
         "FAILED": ["enqueued", "finished", "started", "failed"],
     }
     logs = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    log = requests(spark, sf_dir).where("status IS NOT NULL").select(F.col("id").alias("request_id"), F.col("created_at").alias("at"), F.posexplode(logs[F.col("status")]).alias("seq", "event"))
+    log = requests(spark, sf_dir, "status", "created_at").where("status IS NOT NULL").select(F.col("id").alias("request_id"), F.col("created_at").alias("at"), F.posexplode(logs[F.col("status")]).alias("seq", "event"))
     return status.final_status(log).select("request_id", "status")

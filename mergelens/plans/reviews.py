@@ -42,23 +42,28 @@ COMMENTS = r"""raw AS (
 _TAG = "CASE WHEN severity IN ('CRITICAL', 'WARNING', 'PRAISE') THEN '[' || severity || ']' ELSE '[SUGGESTION]' END || ' **[' || upper(category) || ']** '"
 
 
-def requests(spark, sf_dir):
-    return store.latest(scan(spark, sf_dir, "review_requests"), ["updated_at"])
+#: What the request list shows.
+LISTED = [c for c in store.REQUEST_VIEW if c not in ("id", "reviews")]
 
 
-def results(spark, sf_dir):
+def requests(spark, sf_dir, *columns):
+    """One row per request, of the columns named; no others are read."""
+    return store.latest(scan(spark, sf_dir, "review_requests").select("id", "updated_at", *columns), ["updated_at"])
+
+
+def results(spark, sf_dir, *columns):
     """One row per model call: repeats are whole rows, known by their id."""
-    return store.latest(scan(spark, sf_dir, "review_results"), ["ingested_at"], "result_id")
+    return store.latest(scan(spark, sf_dir, "review_results").select("result_id", "ingested_at", *columns), ["ingested_at"], "result_id")
 
 
 def with_results(spark, sf_dir):
-    children = results(spark, sf_dir).select("review_request_id", "created_at", "result_id", "provider", "model", "latency_ms", "input_tokens", "output_tokens")
-    return stats.nest(requests(spark, sf_dir).select("id", "status", "repository_full_name"), children, "id", "review_request_id", "reviews", ["created_at", "result_id"])
+    children = results(spark, sf_dir, "review_request_id", "created_at", "provider", "model", "latency_ms", "input_tokens", "output_tokens").drop("ingested_at")
+    return stats.nest(requests(spark, sf_dir, "status"), children, "id", "review_request_id", "reviews", ["created_at", "result_id"])
 
 
 def with_replies(spark, sf_dir):
     children = replies.with_comments(scan(spark, sf_dir, "model_replies")).select("review_request_id", "created_at", "reply_id", "provider", "comments")
-    return stats.nest(requests(spark, sf_dir).select("id", "status"), children, "id", "review_request_id", "reviews", ["created_at", "reply_id"])
+    return stats.nest(requests(spark, sf_dir, "status"), children, "id", "review_request_id", "reviews", ["created_at", "reply_id"])
 
 
 @REGISTRY.query(
@@ -105,7 +110,7 @@ def request_outcomes(spark, sf_dir):
 @REGISTRY.query("fallback_rate", f"WITH {RESULTS} SELECT split_part(provider, ' ', 1) AS provider, count(*) AS calls, count(*) FILTER (WHERE contains(provider, 'fallback')) AS fallbacks FROM res GROUP BY 1")
 def fallback_rate(spark, sf_dir):
     fell = F.coalesce(F.contains("provider", F.lit("fallback")), F.lit(False))
-    return results(spark, sf_dir).groupBy(X.provider_name(F.col("provider")).alias("provider")).agg(F.count(F.lit(1)).alias("calls"), F.count_if(fell).alias("fallbacks"))
+    return results(spark, sf_dir, "provider").groupBy(X.provider_name(F.col("provider")).alias("provider")).agg(F.count(F.lit(1)).alias("calls"), F.count_if(fell).alias("fallbacks"))
 
 
 @REGISTRY.query(
@@ -204,12 +209,12 @@ def envelope_normalised(spark, sf_dir):
 
 @REGISTRY.query("reviews_by_status", f"WITH {REQUESTS} SELECT id, repository_full_name, platform_pr_id, title, author, status, created_at FROM req WHERE status = 'FAILED'")
 def reviews_by_status(spark, sf_dir):
-    return store.view(S.list_requests(requests(spark, sf_dir), status="failed"), store.REQUEST_VIEW)
+    return store.view(S.list_requests(requests(spark, sf_dir, *LISTED), status="failed"), store.REQUEST_VIEW)
 
 
 @REGISTRY.query("reviews_by_repository", f"WITH {REQUESTS} SELECT id, repository_full_name, platform_pr_id, title, author, status, created_at FROM req WHERE repository_full_name = 'brackwater/monolith'")
 def reviews_by_repository(spark, sf_dir):
-    return store.view(S.list_requests(requests(spark, sf_dir), repository="brackwater/monolith", status="failed"), store.REQUEST_VIEW)
+    return store.view(S.list_requests(requests(spark, sf_dir, *LISTED), repository="brackwater/monolith", status="failed"), store.REQUEST_VIEW)
 
 
 @REGISTRY.query("review_by_id", "SELECT id, repository_full_name, platform_pr_id, title, author, status, created_at FROM review_requests WHERE id = 'review-7' LIMIT 1")
@@ -219,12 +224,12 @@ def review_by_id(spark, sf_dir):
 
 @REGISTRY.query("reviews_by_pull_request", f"WITH {REQUESTS} SELECT id, status FROM req WHERE repository_full_name = 'brackwater/monolith' AND platform_pr_id = 1")
 def reviews_by_pull_request(spark, sf_dir):
-    return S.find_by_request_key(requests(spark, sf_dir), "brackwater/monolith", 1).select("id", "status")
+    return S.find_by_request_key(requests(spark, sf_dir, "repository_full_name", "platform_pr_id", "status"), "brackwater/monolith", 1).select("id", "status")
 
 
 @REGISTRY.query("retry_eligible", f"WITH {REQUESTS} SELECT id AS review_request_id, repository_full_name, platform_pr_id AS pull_request_number FROM req WHERE status = 'FAILED'")
 def retry_eligible(spark, sf_dir):
-    return store.read_messages(store.requeued(requests(spark, sf_dir)))
+    return store.read_messages(store.requeued(requests(spark, sf_dir, "repository_full_name", "platform_pr_id", "status")))
 
 
 @REGISTRY.query("repository_list", "SELECT id, full_name, is_active, model_preference, created_at FROM repositories")
@@ -281,4 +286,4 @@ FROM review_messages m LEFT JOIN req ON m.review_request_id = req.id LEFT JOIN r
 )
 def queue_join(spark, sf_dir):
     messages = scan(spark, sf_dir, "review_messages").select("delivery_id", "review_request_id")
-    return store.resolve(messages, requests(spark, sf_dir), scan(spark, sf_dir, "repositories")).drop("review_request_id")
+    return store.resolve(messages, requests(spark, sf_dir, "repository_full_name", "status"), scan(spark, sf_dir, "repositories")).drop("review_request_id")
