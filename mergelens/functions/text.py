@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 LINE_BREAK = r"\r\n|\n|\r"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once: inside, it is a lambda variable.
+
+    An expression that a lambda refers to is computed again for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def lines(text: Column) -> Column:
     """Lines by CRLF, LF or CR; a trailing empty line is kept."""
     return F.split(text, LINE_BREAK, -1)

@@ -40,14 +40,18 @@ def _parsed_line(line: Column, number: Column) -> Column:
 
 
 def _numbered(body: Column, start: Column) -> Column:
+    """Lines of a hunk with their numbers; what a lambda reads is bound before it."""
     blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(body) - 1) / BLOCK).cast("int")), lambda b: F.slice(body, b * BLOCK + 1, BLOCK))
-    removed = F.transform(blocks, lambda block: F.size(F.filter(block, _removed)))
+    counted = F.transform(blocks, lambda block, b: F.struct(block.alias("block"), b.alias("b"), F.size(F.filter(block, _removed)).alias("removed")))
 
-    def one(block: Column, b: Column) -> Column:
-        before = F.aggregate(F.slice(removed, 1, b), F.lit(0), lambda a, x: a + x)
-        return F.transform(block, lambda line, i: _parsed_line(line, start + b * BLOCK + i - before - F.size(F.filter(F.slice(block, 1, i), _removed))))
+    def based(all_blocks: Column) -> Column:
+        before = lambda x: F.aggregate(F.slice(all_blocks, 1, x["b"]), F.lit(0), lambda a, y: a + y["removed"])
+        return F.transform(all_blocks, lambda x: F.struct(x["block"].alias("block"), (start + x["b"] * BLOCK - before(x)).alias("base")))
 
-    return F.flatten(F.transform(blocks, one))
+    def one(x: Column) -> Column:
+        return F.transform(x["block"], lambda line, i: _parsed_line(line, x["base"] + i - F.size(F.filter(F.slice(x["block"], 1, i), _removed))))
+
+    return F.flatten(F.transform(X.let(counted, based), one))
 
 
 def new_start(header: Column) -> Column:
@@ -64,12 +68,14 @@ def parse_hunks(block: Column) -> Column:
     segments = F.slice(F.split(F.concat(F.lit("\n"), block), rf"(?:{X.LINE_BREAK})(?=@@)", -1), 2, 2**31 - 2)
     parts = F.filter(F.transform(segments, lambda s: X.lines(s)), lambda p: F.size(p) > 1)
 
-    def hunk(p: Column) -> Column:
+    def headed(p: Column) -> Column:
         header = F.element_at(p, 1)
-        start = new_start(header)
-        return F.struct(header.alias("header"), start.alias("new_start_line"), _numbered(F.slice(p, 2, F.size(p)), start).alias("lines"))
+        return F.struct(header.alias("header"), new_start(header).alias("start"), F.slice(p, 2, F.size(p)).alias("body"))
+
+    def hunk(h: Column) -> Column:
+        return F.struct(h["header"].alias("header"), h["start"].alias("new_start_line"), _numbered(h["body"], h["start"]).alias("lines"))
 
-    return F.transform(parts, hunk)
+    return F.transform(F.transform(parts, headed), hunk)
 
 
 def _count(hunks: Column, kind: str) -> Column:
@@ -102,12 +108,14 @@ def diff_files(df: DataFrame, raw: str, keys: Sequence[str], **options) -> DataF
 
     Null, empty and blank diffs give no rows, nor does an empty table; equal rows give equal rows."""
     parsed = df.select(*keys, parse_diff(F.col(raw), **options).alias("files"))
-    return parsed.select(*keys, F.size("files").alias("chunks"), F.posexplode("files").alias("at", "file")).select(*keys, (F.col("at") + 1).alias("chunk"), "chunks", "file.*")
+    # the outer form: for the plain one Spark filters by the size of the array, and parses again to get it
+    rows = parsed.select(*keys, F.size("files").alias("chunks"), F.posexplode_outer("files").alias("at", "file")).where("at IS NOT NULL")
+    return rows.select(*keys, (F.col("at") + 1).alias("chunk"), "chunks", "file.*")
 
 
 def diff_lines(files: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per line of ``files``: ``keys``, ``file_path``, ``hunk_no`` and ``line_no`` from 1, ``type``, ``line_number``, ``content``."""
-    hunks = files.select(*keys, "file_path", F.posexplode("hunks").alias("h", "hunk"))
+    hunks = files.select(*keys, "file_path", F.posexplode_outer("hunks").alias("h", "hunk")).where("h IS NOT NULL")
     return hunks.select(*keys, "file_path", (F.col("h") + 1).alias("hunk_no"), F.posexplode("hunk.lines").alias("l", "line")).select(*keys, "file_path", "hunk_no", (F.col("l") + 1).alias("line_no"), "line.type", "line.line_number", "line.content")
 
 

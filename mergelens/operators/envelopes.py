@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mergelens.functions import text as X
+
 MESSAGES = "id string, type string, role string, content array<struct<type:string,text:string>>, model string, stop_reason string, usage struct<input_tokens:int,output_tokens:int>"
 CHAT = "id string, model string, choices array<struct<index:int,message:struct<role:string,content:string>,finish_reason:string>>, usage struct<prompt_tokens:int,completion_tokens:int,total_tokens:int>"
 GENERATE = "candidates array<struct<content:struct<role:string,parts:array<struct<text:string>>>,finishReason:string>>, usageMetadata struct<promptTokenCount:int,candidatesTokenCount:int,totalTokenCount:int>"
@@ -21,23 +23,34 @@ def _reply(content: Column, model: Column, provider: str, n_in: Column, n_out: C
 
 def from_messages(body: Column, provider: str = "claude") -> Column:
     """First block of type text; the total is input plus output. Null without such a block, or if malformed."""
-    e = F.from_json(body, MESSAGES)
-    text = F.try_element_at(F.filter(e["content"], lambda b: b["type"] == "text"), F.lit(1))["text"]
-    n_in, n_out = e["usage"]["input_tokens"], e["usage"]["output_tokens"]
-    return _reply(text, e["model"], provider, n_in, n_out, n_in + n_out)
+
+    def read(e: Column) -> Column:
+        text = F.try_element_at(F.filter(e["content"], lambda b: b["type"] == "text"), F.lit(1))["text"]
+        n_in, n_out = e["usage"]["input_tokens"], e["usage"]["output_tokens"]
+        return _reply(text, e["model"], provider, n_in, n_out, n_in + n_out)
+
+    return X.let(F.from_json(body, MESSAGES), read)
 
 
 def from_chat(body: Column, provider: str = "openai") -> Column:
     """First choice; absent usage counts 0."""
-    e = F.from_json(body, CHAT)
-    return _reply(F.try_element_at(e["choices"], F.lit(1))["message"]["content"], e["model"], provider, e["usage"]["prompt_tokens"], e["usage"]["completion_tokens"], e["usage"]["total_tokens"])
+
+    def read(e: Column) -> Column:
+        text = F.try_element_at(e["choices"], F.lit(1))["message"]["content"]
+        return _reply(text, e["model"], provider, e["usage"]["prompt_tokens"], e["usage"]["completion_tokens"], e["usage"]["total_tokens"])
+
+    return X.let(F.from_json(body, CHAT), read)
 
 
 def from_generate(body: Column, model: Column, provider: str = "gemini") -> Column:
     """First part of the first candidate; the model is the configured one."""
-    e = F.from_json(body, GENERATE)
-    part = F.try_element_at(F.try_element_at(e["candidates"], F.lit(1))["content"]["parts"], F.lit(1))["text"]
-    return _reply(part, model, provider, e["usageMetadata"]["promptTokenCount"], e["usageMetadata"]["candidatesTokenCount"], e["usageMetadata"]["totalTokenCount"])
+
+    def read(e: Column) -> Column:
+        part = F.try_element_at(F.try_element_at(e["candidates"], F.lit(1))["content"]["parts"], F.lit(1))["text"]
+        usage = e["usageMetadata"]
+        return _reply(part, model, provider, usage["promptTokenCount"], usage["candidatesTokenCount"], usage["totalTokenCount"])
+
+    return X.let(F.from_json(body, GENERATE), read)
 
 
 def normalise(kind: Column, body: Column, configured_model: Column) -> Column:

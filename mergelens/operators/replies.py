@@ -18,7 +18,7 @@ _STRICT = {"allowSingleQuotes": "false", "allowComments": "false", "mode": "PERM
 def json_array(content: Column) -> Column:
     """The fenced array, else from the first bracket to the last, else null."""
     fenced, bare = F.regexp_extract(content, _FENCED, 1), F.regexp_extract(content, _ARRAY, 1)
-    return F.when(fenced != "", fenced).when(bare != "", bare)
+    return X.let(fenced, lambda f: F.when(f != "", f).otherwise(F.nullif(bare, F.lit(""))))
 
 
 def _line(field: Column) -> Column:
@@ -40,7 +40,6 @@ def comments(content: Column) -> Column:
     """
     # inside another array, anything behind the first array shows as a second element or an error
     outer = F.from_json(F.concat(F.lit("["), json_array(content), F.lit("]")), "array<array<map<string,string>>>", _STRICT)
-    elements = F.when(F.size(outer) == 1, F.element_at(outer, 1))
     required = [k for k in DEFAULTS if k != "suggestion"]
 
     def sound(e: Column) -> Column:
@@ -59,8 +58,10 @@ def comments(content: Column) -> Column:
             _field(e, "suggestion").alias("suggestion"),
         )
 
-    kept = F.when(F.forall(elements, sound), elements)
-    return F.transform(F.coalesce(kept, F.array().cast("array<map<string,string>>")), typed)
+    none = F.array().cast("array<map<string,string>>")
+    only = lambda o: F.when(F.size(o) == 1, F.element_at(o, 1))
+    sure = lambda e: F.when(F.forall(e, sound), e)
+    return F.transform(F.coalesce(X.let(X.let(outer, only), sure), none), typed)
 
 
 def with_comments(df: DataFrame, content: str = "content", into: str = "comments") -> DataFrame:
@@ -69,4 +70,6 @@ def with_comments(df: DataFrame, content: str = "content", into: str = "comments
 
 def explode_comments(df: DataFrame, keys: list[str], column: str = "comments") -> DataFrame:
     """One row per comment: ``keys``, ``comment_no`` from 1 and the comment's fields."""
-    return df.select(*keys, F.posexplode(column).alias("at", "comment")).select(*keys, (F.col("at") + 1).alias("comment_no"), "comment.*")
+    # the outer form: for the plain one Spark filters by the size of the array, and parses again to get it
+    rows = df.select(*keys, F.posexplode_outer(column).alias("at", "comment")).where("at IS NOT NULL")
+    return rows.select(*keys, (F.col("at") + 1).alias("comment_no"), "comment.*")
