@@ -65,6 +65,16 @@ def diff_chunks(spark, sf_dir):
     return _files(spark, sf_dir, max_files=2).select("prompt_id", "file_path", "chunk", "chunks")
 
 
+@REGISTRY.query(
+    "diff_chunks_default",
+    f"""WITH {LINES}, kept AS (SELECT prompt_id, file_path, row_number() OVER (PARTITION BY prompt_id ORDER BY b) AS chunk FROM paths WHERE NOT {_EXCLUDED} QUALIFY chunk <= {diff.DEFAULT_MAX_FILES})
+SELECT prompt_id, file_path, CAST(chunk AS INTEGER) AS chunk, CAST(count(*) OVER (PARTITION BY prompt_id) AS INTEGER) AS chunks FROM kept""",
+)
+def diff_chunks_default(spark, sf_dir):
+    """With as many files as the default settings allow."""
+    return _files(spark, sf_dir, max_files=diff.DEFAULT_MAX_FILES).select("prompt_id", "file_path", "chunk", "chunks")
+
+
 @REGISTRY.query(
     "diff_excluded_by_settings",
     r"""WITH p AS (SELECT full_name, settings.exclude_patterns AS patterns FROM repositories), r AS (SELECT DISTINCT id, repository_full_name FROM review_requests)

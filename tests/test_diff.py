@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mergelens.operators import diff
+from mergelens.plans import diffs
 
 ONE = """diff --git a/src/A.kt b/src/A.kt
 index 1..2 100644
@@ -99,3 +100,10 @@ def test_plan_has_no_shuffle_and_no_python(spark):
     df = spark.createDataFrame([(1, ONE)], "k int, raw string")
     plan = diff.diff_lines(diff.diff_files(df, "raw", ["k"]), ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_default_chunks_keep_all_files_up_to_the_default_limit(spark, tmp_path):
+    few, many = ("\n".join(ONE.replace("src/A.kt", f"{i}.kt") for i in range(n)) for n in (7, diff.DEFAULT_MAX_FILES + 3))
+    spark.createDataFrame([(1, few), (2, many)], "prompt_id bigint, diff_content string").write.parquet(str(tmp_path / "review_prompts.parquet"))
+    got = sorted((r.prompt_id, r.chunk, r.chunks, r.file_path) for r in diffs.REGISTRY.queries["diff_chunks_default"](spark, str(tmp_path)).collect())
+    assert got == [(p, i + 1, n, f"{i}.kt") for p, n in ((1, 7), (2, diff.DEFAULT_MAX_FILES)) for i in range(n)]
