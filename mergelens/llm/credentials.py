@@ -117,7 +117,13 @@ _PLACE = re.compile(
     r"^(?:[x*.?#_-]{3,}|(.)\1{5,}|.*(?:\$\{|\{\{|\$\(|#\{|%\(|@\{|<%|%[sdv]\b).*|<.*>|\[.*\]|\$\w+|%\w+%|\{\w+\})$",
     re.IGNORECASE,
 )
-_WORDS = re.compile(r"^(?:your|my|the|an?|insert|replace|change|enter|put|add|set|some|any|dummy|sample|example|test|fake|todo|fixme|tbd|redacted|hidden|masked|removed|none|null|nil|undefined|true|false|xxx+|placeholder|default|secret|password|passwd|token|key|value|here|me|it|this|in|to|by|with|from|api|access|auth)[a-z\s_.-]*$", re.IGNORECASE)
+#: Words of placeholders; those of LOOSE may also be glued to further words by a change of case.
+LOOSE = ("your", "insert", "replace", "change", "enter", "dummy", "sample", "example", "test", "fake", "redacted", "hidden", "masked", "removed", "undefined", "placeholder", "default", "secret", "password", "passwd", "token")
+TIGHT = ("todo", "the", "any", "an", "a", "my", "put", "add", "set", "some", "fixme", "tbd", "none", "null", "nil", "true", "false", "key", "value", "here", "me", "it", "this", "into", "in", "to", "by", "with", "from", "api", "access", "auth")
+#: A placeholder's word up to its end and any letters after it, or nothing but such words.
+_WORDS = re.compile(
+    rf"^(?:(?i:{'|'.join((*LOOSE, *TIGHT))}|xxx+)(?:[\s_.-][A-Za-z\s_.-]*)?|(?i:{'|'.join(LOOSE)})(?<=[a-z])(?=[A-Z])[A-Za-z\s_.-]*|(?i:(?:(?:{'|'.join((*LOOSE, *TIGHT))}|xxx+)[\s_.-]*)++))$"
+)
 _REFER = re.compile(r"^(?:file|vault|kms|arn|env|ssm|asm|secretsmanager|secretmanager|op|gcp|gcpkms|aws|awskms|azure|keyvault|akv|sops|keyring|keychain|secret|secrets|ref|refs|k8s|kubernetes|config|configmap|projects|parameter|consul|doppler|infisical|bitwarden|pass)[:/]|^(?:https?|ftp)://[^@]*$|^(?:process\.env|os\.environ|System\.getenv|ENV\b|env\.|config\.|settings\.|secrets?\.|vars?\.|params?\.|args?\.|self\.|this\.)", re.IGNORECASE)
 _PATH = re.compile(r"^(?:~|\.{1,2})?/?(?:[\w.-]+/)+[\w.-]*$")
 _UUID = re.compile(r"^[{(]?[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}[)}]?$", re.IGNORECASE)
@@ -135,7 +141,7 @@ def _mixed(v: str) -> bool:
 def given(value: str, shortest: int = 6) -> bool:
     """Whether a value that stands where only a credential can isn't a placeholder, reference, hash, id or public key."""
     v = value.strip().rstrip("\r")
-    if len(v) < shortest or any(c.isspace() for c in v) or len(v) > 4096:
+    if len(v) < shortest or any(c.isspace() for c in v):
         return False
     if _PLACE.match(v) or _WORDS.match(v) or _REFER.search(v) or _UUID.match(v) or _HASHED.match(v) or _PUBLIC.match(v):
         return False
@@ -153,6 +159,39 @@ def live(value: str, shortest: int = 6) -> bool:
     return digits or marks or _mixed(v)
 
 
+#: Identifiers of what people choose, which can be any text. Tokens and keys are made by machines.
+_CHOSEN = re.compile(r"passw|passphrase|passcode|pwd|secret(?![a-z_.-]*key)|(?:" + "|".join(PASS_KINDS) + r")[_.-]?pass(?![a-z])|(?<![a-z])pw(?![a-z])", re.IGNORECASE)
+#: Numbers of tokens.
+_AMOUNT = re.compile(r"tokens$|^(?:max|min|num|total|count|limit)", re.IGNORECASE)
+#: Words of names, labels and messages about a credential, and types of a field.
+_SPEAKS = re.compile(r"passwor[dt]|passwd|passphrase|secret|token|credential|kennwort|(?<![a-z])key(?![a-z])", re.IGNORECASE)
+_TYPES = re.compile(r"(?:string|str|text|varchar|char|number|integer|int|boolean|bool|object|required|optional|include|omit|same-origin|basic|bearer|digest)", re.IGNORECASE)
+#: Words that sentences have and passphrases of random words don't.
+_SENTENCE = re.compile(r"(?<!\w)(?:the|an?|is|are|was|be|must|should|can|cannot|not|no|please|enter|with|without|for|from|of|or|and|to|your|you|we|this|that|at|least|invalid|wrong|missing|required|failed|der|die|das|ist|bitte|oder|und|le|la|les|est|el|los|es|por|favor)(?!\w)", re.IGNORECASE)
+_SETS = re.compile(r"(?:put|set|add|append|with|header|param|parameter|property|option|config|env|define|field|entry|pair)\w*\(\s*[\"']$", re.IGNORECASE)
+
+
+def assigned(value: str, name: str) -> bool:
+    """Whether a quoted literal given to an identifier named like a credential is its value.
+
+    What people choose may be any text that isn't a placeholder, reference, hash, id,
+    path, or words about a credential. Tokens and keys must look made by a machine, as
+    in ``live``, since words are also given to tokens of languages and keys of tables;
+    but they may be all digits."""
+    v = value.strip()
+    if live(value):
+        return True
+    if not any(c.isalnum() for c in v) or _PLACE.match(v) or _WORDS.match(v) or _REFER.search(v) or _UUID.match(v) or _HASHED.match(v) or _PUBLIC.match(v):
+        return False
+    if not _CHOSEN.search(name):
+        return len(v) >= 6 and v.isdigit() and not _AMOUNT.search(name)
+    if any(c.isspace() for c in v) and _SENTENCE.search(v):
+        return False
+    if _TYPES.fullmatch(v) or (_SPEAKS.search(v) and not any(c.isdigit() for c in v)):
+        return False
+    return not (_PATH.match(v) and "/" in v)
+
+
 def _decoded(value: str) -> str | None:
     try:
         return base64.b64decode(value + "=" * (-len(value) % 4), validate=True).decode("utf-8")
@@ -240,7 +279,10 @@ def _named_at(text: str, at: int, begin: int, end: int) -> list[tuple[int, int]]
         if _ABOUT.search(name) or (pattern is _PASSED and (start == begin or text[start - 1] not in "\"'")) or (pattern is _CALLED and _READS.match(name.rpartition(".")[2])):
             continue
         parts = _chain(text, m.start("q"), end)
-        if parts and live("".join(p[2] for p in parts)):
+        whole = "".join(p[2] for p in parts)
+        # a second text may be one more name of a list, and a call may look a value up by its name
+        free = pattern is _ASSIGN or (pattern is _PASSED and _SETS.search(text, max(begin, start - 60), start)) or (pattern is _CALLED and "secret" not in name.lower())
+        if parts and (assigned(whole, name) if free else live(whole)):
             spans += [p[:2] for p in parts]
     for pattern in (_PLAIN, _AFTER):
         m = pattern.match(text, at, end)
@@ -320,7 +362,8 @@ def find(text: str, diff: bool = True) -> list[tuple[int, int, int]]:
 def _continued(text: str, at: int, begin: int, body: int, end: int, no: int, diff: bool) -> list[tuple[int, int, int]]:
     """The value on a following line of an assignment that this line leaves open."""
     m = _OPEN.match(text, at, end)
-    if not m or _ABOUT.search(text[_name_start(text, at, max(body, at - 120)) : at + len(_WORD.match(text, at, end)[0])]):
+    name = text[_name_start(text, at, max(body, at - 120)) : at + len(_WORD.match(text, at, end)[0])]
+    if not m or _ABOUT.search(name):
         return []
     nxt = _next_line(text, end, no, text[begin] if body > begin else "")
     if nxt is None:
@@ -328,7 +371,7 @@ def _continued(text: str, at: int, begin: int, body: int, end: int, no: int, dif
     row, low, high = nxt
     plain = m["how"].rstrip()[-1:] not in ("=", ":", "(")
     v = (_NEXT_PLAIN if plain else _NEXT_QUOTED).match(text, low, high)
-    if not v or not live(v["val"], 8 if plain else 6):
+    if not v or not (live(v["val"], 8) if plain else assigned(v["val"], name)):
         return []
     parts = [v.span("val")] if plain else [p[:2] for p in _chain(text, v.start("q"), high)]
     return [(row + 1, a, b) for a, b in parts]

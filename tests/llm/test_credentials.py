@@ -95,3 +95,57 @@ def test_long_words_cost_linear_time():
     text = "\n".join(["password=your" + "a_" * 5000 + "!", "token: " + "x" * 100_000, "secret = '" + "\\n" * 50_000, "http://" + "a" * 100_000, "login " + "b " * 20_000] * 3)
     find(text)
     assert time.time() - began < 5
+
+
+CHOSEN = [
+    '+password = "%s"',
+    "+  db_password: '%s',",
+    '+builder.withPassword("%s")',
+    '+props.setProperty("password", "%s")',
+    '+password =\n+    "%s"',
+]
+
+
+@pytest.mark.parametrize("shape", CHOSEN)
+@pytest.mark.parametrize("value", ["correct-horse-battery-staple", "adlerhorst", "Alohomora", "anton", "correct horse battery staple", "84736251", "abc", "MIIKeystore" + "AbC9+/xY" * 600])
+def test_chosen_values_may_be_any_text(shape, value):
+    text = shape.replace("%s", value)
+    assert redact(text, find(text)) == shape.replace("%s", MASK)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        '+password = "changeme"',
+        '+password = "MySecretKey"',
+        '+password = "your-smtp-password"',
+        '+password = "exampleUser"',
+        '+password: "string"',
+        '+password: ","',
+        '+password = ""',
+        '+"password": "Please enter the old one"',
+        '+fields = ["password", "email"]',
+        '+val x = secret("smtp-relay")',
+        '+  "openToken": "schema",',
+        '+  "maxTokens": "128000",',
+        "+postgres://u:changeit@h/db",
+    ],
+)
+def test_words_about_credentials_stay(text):
+    assert find(text) == []
+
+
+@pytest.mark.parametrize("shape", ["+postgres://u:%s@h/db", "+mysql -u root -p%s app", "+x?user=a&password=%s&y=1"])
+def test_placeholders_end_at_words(shape):
+    for value in ("Adlerhorst", "Alohomora", "Immergruen", "Theodolit", "Meerkatze"):
+        text = shape.replace("%s", value)
+        assert redact(text, find(text)) == shape.replace("%s", MASK)
+
+
+def test_words_of_placeholders_cost_linear_time():
+    import time
+
+    began = time.time()
+    for v in ("todo" * 50_000 + "!", "replaceMe" * 20_000 + "1", "a" * 200_000 + "!", "my " * 50_000 + "1", "a/" * 50_000 + "+", "AbC9+/xY" * 50_000):
+        find(f'password = "{v}"\nu://u:{v}@h')
+    assert time.time() - began < 5
