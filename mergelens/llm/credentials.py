@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -86,22 +87,29 @@ _HEADER = re.compile(r"(?:authorization|x-auth|x-api-key|private-token|x-auth-to
 _BEARER = re.compile(r"(?<=[\"'])(?P<kind>bearer|basic)\s+(?P<val>[A-Za-z0-9._~+/=-]{8,})[\"']", re.IGNORECASE)
 _URL = re.compile(r"://(?P<user>[^\s/:@\"'<>]*):(?P<val>[^\s/@\"'<>]+)@[A-Za-z0-9\[]")
 _DOCKER_AUTH = re.compile(r"auth\"\s*:\s*\"(?P<val>[A-Za-z0-9+/=]{8,})\"")
-#: Commands, matched from their first word on.
+#: Commands by their first words; each option is searched for once, up to the end of the line.
+_PROGRAMS = (
+    (("docker", "podman", "helm", "oc", "az", "npm", "buildah", "skopeo"), re.compile(r"\blogin\b"), re.compile(r"\s(?:-p|--password)[\s=]+[\"']?(?P<val>[^\s\"']+)")),
+    (("mysql", "mysqldump", "mysqladmin", "mariadb"), None, re.compile(r"\s(?:-p|--password=)[\"']?(?P<val>[^\s\"']{4,})")),
+    (("curl", "wget"), None, re.compile(r"\s(?:-u|--user|--auth)[\s=]++[\"']?[^\s:\"']++:(?P<val>[^\s\"']+)")),
+)
+_OPTIONS = ("--password", "--token", "--secret", "--api-key", "--access-token", "--client-secret")
+#: Commands by their first words, matched from there on.
 _COMMANDS = (
-    re.compile(r"(?:docker|podman|helm|oc|az|npm|buildah|skopeo)\b.{0,200}?\blogin\b.{0,200}?\s(?:-p|--password)[\s=]+[\"']?(?P<val>[^\s\"']+)"),
-    re.compile(r"(?:mysql|mysqldump|mysqladmin|mariadb)\b.{0,200}?\s(?:-p|--password=)[\"']?(?P<val>[^\s\"']{4,})"),
-    re.compile(r"sshpass\s+-p\s*[\"']?(?P<val>[^\s\"']+)"),
-    re.compile(r"(?:curl|wget)\b.{0,400}?\s(?:-u|--user|--auth)[\s=]+[\"']?[^\s:\"']+:(?P<val>[^\s\"']+)"),
-    re.compile(r"--(?:password|token|secret|api-key|access-token|client-secret)(?:=|\s+)[\"']?(?P<val>[^\s\"']+)"),
-    re.compile(r"machine\s+\S+\s+login\s+\S+\s+password\s+(?P<val>\S+)"),
-    re.compile(r"identified\s+(?:with\s+\S+\s+)?by\s+(?P<q>[\"'])(?P<val>(?:\\.|(?!(?P=q))[^\\])*+)(?P=q)", re.IGNORECASE),
-    re.compile(r"password\s+'(?P<val>[^']+)'", re.IGNORECASE),
+    (("sshpass",), re.compile(r"sshpass\s+-p\s*[\"']?(?P<val>[^\s\"']+)")),
+    (_OPTIONS, re.compile(r"(?:" + "|".join(_OPTIONS) + r")(?:=|\s+)[\"']?(?P<val>[^\s\"']+)")),
+    (("machine",), re.compile(r"machine\s+\S+\s+login\s+\S+\s+password\s+(?P<val>\S+)")),
+    (("identified",), re.compile(r"identified\s+(?:with\s+\S+\s+)?by\s+(?P<q>[\"'])(?P<val>(?:\\.|(?!(?P=q))[^\\])*+)(?P=q)", re.IGNORECASE)),
+    (("password",), re.compile(r"password\s+'(?P<val>[^']+)'", re.IGNORECASE)),
 )
-#: Remarks, matched from their first word on.
+#: First words of remarks.
+REMARK_WORDS = ("password", "passwd", "passphrase", "passcode", "pwd", "pw", "secret", "token", "credentials", "credential")
+REMARK_KINDS = (*KEY_AGES, "api", "access", "secret", "shared", "master")
+#: Remarks by their first words, matched from there on.
 _REMARKS = (
-    re.compile(r"\b(?:password|passwd|passphrase|passcode|pwd|pw|secret|token|credentials?)\b(?:\s+(?:for|of|on)\s+\S+)?\s*(?:(?:is|was|are|->|=>|=|:)\s*)+[\"'`]?(?P<val>[^\s\"'`,;]+)", re.IGNORECASE),
-    re.compile(r"\b(?:" + "|".join(KEY_AGES) + r"|api|access|secret|shared|master)\s+(?:key|token|secret|password|pw|pass)\b\s*(?:is|was|:|=)?\s*[\"'`]?(?P<val>[^\s\"'`,;]+)", re.IGNORECASE),
-    re.compile(r"\blog\s?in\b.{0,60}?\s\S+\s*/\s*(?P<val>\S+)", re.IGNORECASE),
+    (REMARK_WORDS, re.compile(r"\b(?:" + "|".join(REMARK_WORDS) + r")\b(?:\s+(?:for|of|on)\s+\S+)?\s*(?:(?:is|was|are|->|=>|=|:)\s*)+[\"'`]?(?P<val>[^\s\"'`,;]+)", re.IGNORECASE)),
+    (REMARK_KINDS, re.compile(r"\b(?:" + "|".join(REMARK_KINDS) + r")\s+(?:key|token|secret|password|pw|pass)\b\s*(?:is|was|:|=)?\s*[\"'`]?(?P<val>[^\s\"'`,;]+)", re.IGNORECASE)),
+    (("login", "log in", "log\tin"), re.compile(r"\blog\s?in\b.{0,60}?\s\S+\s*/\s*(?P<val>\S+)", re.IGNORECASE)),
 )
 _REMARK_LINE = re.compile(r"\s*(?:--|#|//|;|/?\*|%|>|<!--|[-*] |\d+\. |[A-Z])")
 _MARKER = re.compile(r"\s*(?:--|#|//|;|\*|%|>)\s*")
@@ -223,12 +231,16 @@ def _chain(text: str, at: int, end: int) -> list[tuple[int, int, str]]:
 #: Words that start a lexing, by what is tried there.
 _STARTS = {
     "name": [*NAME_WORDS, *(f"{k}{sep}key" for k in KEY_KINDS for sep in ("", "_", "-", ".")), *(f"{k}{sep}pass" for k in PASS_KINDS for sep in ("", "_", "-", ".")), "cred", "pass", "pw", "auth"],
-    "form": ["ghp_", "gho_", "ghs_", "ghu_", "ghr_", "github_pat_", "glpat-", "-pat.", "_pat_", "-pat-", "sk_live_", "sk_test_", "sk_prod_", "rk_live_", "rk_test_", "rk_prod_", "xoxa-", "xoxb-", "xoxe-", "xoxo-", "xoxp-", "xoxr-", "xoxs-", "akia", "asia", "aroa", "aida", "aiza", "ya29.", "npm_", "pypi-", "hf_", "dop_v1_", "sg.", "eyj"],
+    "form": [
+        *(f"gh{c}_" for c in "opsur"), "github_pat_", "glpat-", *(f"{a}pat{b}" for a in "-_" for b in "._-"), *(f"{c}k_{k}_" for c in "sr" for k in ("live", "test", "prod")), *(f"xox{c}-" for c in "abeoprs"),
+        "akia", "asia", "aroa", "aida", "aiza", "ya29.", "npm_", "pypi-", "hf_", "dop_v1_", "sg.", "eyj",
+    ],
     "url": ["://"],
     "pem": ["-----begin "],
-    "header": ["authorization", "x-auth", "x-api-key", "private-token", "bearer ", "basic "],
-    "command": ["docker", "podman", "helm", "npm", "buildah", "skopeo", "mysql", "mariadb", "sshpass", "curl", "wget", "--password", "--token", "--secret", "--api-key", "--access-token", "--client-secret", "machine ", "identified", "password '"],
-    "remark": ["password", "passwd", "passphrase", "passcode", "pwd", "pw", "secret", "token", "credential", *(f"{k} {w}" for k in KEY_AGES for w in ("key", "pass")), "login", "log in"],
+    "header": ["authorization", "proxy-authorization", "x-auth", "x-api-key", "private-token", "bearer", "basic"],
+    "program": [w for words, _, _ in _PROGRAMS for w in words],
+    "command": [w for words, _ in _COMMANDS for w in words],
+    "remark": [w for words, _ in _REMARKS for w in words],
 }
 
 
@@ -298,6 +310,28 @@ def _named_at(text: str, at: int, begin: int, end: int) -> list[tuple[int, int]]
     return spans
 
 
+def _program_at(text: str, at: int, end: int, options: dict) -> list[tuple[int, int]]:
+    """The first value of an option behind the command at ``at``. ``options`` keeps what the line has, read once."""
+    spans = []
+    for no, (words, through, option) in enumerate(_PROGRAMS):
+        word = next((w for w in words if text.startswith(w, at) and not (text[at + len(w) : at + len(w) + 1].isalnum() or text.startswith("_", at + len(w)))), None)
+        if word is None or (len(word) < 3 and at and (text[at - 1].isalnum() or text[at - 1] == "_")):
+            continue
+        if no not in options:
+            fit = [m for m in option.finditer(text, at, end) if given(m["val"]) and not _CODE.match(m["val"])]
+            options[no] = ([m.end() for m in through.finditer(text, at, end)] if through else [], [m.start() for m in fit], [m.span("val") for m in fit])
+        marks, starts, values = options[no]
+        low = at + len(word)
+        if through:
+            k = bisect_right(marks, low)
+            if k == len(marks):
+                continue
+            low = marks[k]
+        if (k := bisect_left(starts, low)) < len(starts):
+            spans.append(values[k])
+    return spans
+
+
 _WORD = re.compile(r"[A-Za-z0-9_$-]*")
 
 
@@ -314,6 +348,7 @@ def find(text: str, diff: bool = True) -> list[tuple[int, int, int]]:
     out: list[tuple[int, int, int]] = []
     no, begin, stop = 0, 0, -1  # of the current line
     seen = -1
+    options: dict[int, tuple[list[int], list[int], list[tuple[int, int]]]] = {}
     for last, (width, kinds) in _automaton().iter(low):
         at = last - width + 1
         if at > stop:
@@ -322,6 +357,7 @@ def find(text: str, diff: bool = True) -> list[tuple[int, int, int]]:
             seen = begin
             stop = text.find("\n", at)
             stop = len(text) if stop < 0 else stop
+            options = {}
         end = stop - 1 if stop > begin and text[stop - 1] == "\r" else stop
         shift = 1 if diff and end > begin and text[begin] in "+- " and not text.startswith("-----", begin) else 0
         body = begin + shift
@@ -347,12 +383,14 @@ def find(text: str, diff: bool = True) -> list[tuple[int, int, int]]:
                         spans.append(m.span("val"))
                 if (m := _PASSED.match(text, at, end)) and at > body and text[at - 1] in "\"'" and live(m["val"], 8):
                     spans.append(m.span("val"))
+            elif kind == "program":
+                spans += _program_at(text, at, end, options)
             elif kind == "command":
-                for pattern in _COMMANDS:
+                for _, pattern in _COMMANDS:
                     if (m := pattern.match(text, at, end)) and given(m["val"]) and not _CODE.match(m["val"]):
                         spans.append(m.span("val"))
             elif _REMARK_LINE.match(text, body, end):
-                for pattern in _REMARKS:
+                for _, pattern in _REMARKS:
                     if (m := pattern.match(text, at, end)) and live(m["val"], 8) and not _CODE.match(m["val"]) and not _PATH.match(m["val"]):
                         spans.append(m.span("val"))
         out += [(no + 1, a, b) for a, b in spans]

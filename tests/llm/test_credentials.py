@@ -149,3 +149,40 @@ def test_words_of_placeholders_cost_linear_time():
     for v in ("todo" * 50_000 + "!", "replaceMe" * 20_000 + "1", "a" * 200_000 + "!", "my " * 50_000 + "1", "a/" * 50_000 + "+", "AbC9+/xY" * 50_000):
         find(f'password = "{v}"\nu://u:{v}@h')
     assert time.time() - began < 5
+
+
+@pytest.mark.parametrize(
+    "shape",
+    [
+        "+oc login https://c.example.test -u dev -p %s",
+        "+az login --service-principal -u app -p %s",
+        "+# old token %s",
+        "+# api key: %s",
+        "+# access  key %s",
+        "+// shared key is %s",
+        "+# master key = %s",
+        "+# temp secret %s",
+        "+curl " + "-H 'Accept: text/plain' " * 40 + "-u bot:%s https://a.example.test",
+        "+docker " + "--debug " * 60 + "login " + "--quiet " * 60 + "-p %s",
+        "+mysql " + "--verbose " * 60 + "-p%s app",
+        "+x = f(\"xoxs-%s\")",
+    ],
+)
+def test_all_starts_of_patterns_are_tried(shape):
+    value = "Abc123def456" if "xoxs" not in shape else "12345678901-Abc123def456"
+    text = shape.replace("%s", value)
+    assert redact(text, find(text)) == (shape.replace("%s", MASK) if "xoxs" not in shape else f'+x = f("{MASK}")')
+
+
+@pytest.mark.parametrize("text", ["+lazy login -p Abc123def456", "+doc login -p Abc123def456", "+docker run -p Abc123def456 x", "+# a new key of the map"])
+def test_starts_alone_are_nothing(text):
+    assert find(text) == []
+
+
+def test_commands_cost_linear_time():
+    import time
+
+    began = time.time()
+    for line in ("docker login " * 20_000, "curl " * 40_000 + "-u ", "curl -u " + "=" * 100_000, "curl -u a " * 20_000, "mysql -pAbc123def456 " * 10_000, "# old key " * 20_000):
+        find(line)
+    assert time.time() - began < 5
