@@ -117,7 +117,7 @@ NOTICES = (
 COPIES = ("@preserve", "@license", "copied unchanged", "copied verbatim", "vendored from", "imported from upstream", "do not patch, upstream", "/*!", "/**")
 
 #: Phrases that take a notice back.
-VETOES = ("was generated", "were generated", "rewritten by hand", "written by hand", "not generated", "no longer generated", "not auto", "maintained by hand")
+VETOES = ("rewritten by hand", "written by hand", "not generated", "no longer generated", "not auto", "maintained by hand")
 
 #: A library banner: a name and a version number, mostly with a licence or an address.
 _BANNER = re.compile(r"^/\*[*!]\s*(?:@license\s+)?[@\w./-]+[\s,-]*(?:v|version\s*)\d+(?:\.\d+)+", re.IGNORECASE)

@@ -75,3 +75,9 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, "a.lock", None), (2, "a.kt", ""), (2, "a.kt", ""), (3, None, None)], "diff_id int, file_path string, patch string").withColumn("file_class", F.lit(9))
     assert sorted((r.diff_id, r.file_class) for r in classify_files(df).collect()) == [(1, "no_patch"), (2, "hand_written"), (2, "hand_written"), (3, "no_patch")]
     assert classify_files(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("head", ["# This file was generated by protoc", "// This code was generated by a tool", "// Sources were generated from x.proto"])
+def test_notices_in_the_past(head):
+    assert content_class("a.kt", f"@@ -0,0 +1,3 @@\n+{head}\n+fun a() = 1\n+fun b() = 2") == "generated"
+    assert content_class("a.kt", f"@@ -0,0 +1,3 @@\n+{head}, now maintained by hand\n+fun a() = 1\n+fun b() = 2") is None
