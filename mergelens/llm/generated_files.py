@@ -130,10 +130,29 @@ _CODE = re.compile(r"\.(js|mjs|cjs|jsx|ts|tsx|css|py|java|kt|kts|go|rb|rs|c|cc|c
 _NUMBERS = re.compile(r"^[\s\[\](){},;+-]*(?:-?(?:0x[0-9a-f]+|\d+(?:\.\d+)?(?:e[+-]?\d+)?)[\s\])}]*[,;][\s\[({]*){6,}(?:-?(?:0x[0-9a-f]+|\d+(?:\.\d+)?))?[\s\])},;+]*$", re.IGNORECASE)
 _BLOB = re.compile(r"^[\s+(,\[]*[bru]?([\"'`])(?:[A-Za-z0-9+/=_-]{40,}|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){6,})\1[\s+,;)\]]*$")
 
+#: Literals of data behind other code, and runs of numbers there.
+_LITERAL = re.compile(r"([\"'`])(?:(?P<text>[A-Za-z0-9+/=_-]{40,}+)|(?:\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}|\\[0-7]{3}){6,}+)\1")
+_RUN = re.compile(r"(?:(?<![\w.])-?(?:0x[0-9a-f]++|\d++(?:\.\d++)?(?:e[+-]?\d++)?)[\s\])}]*+[,;][\s\[({]*+){16,}+", re.IGNORECASE)
+#: Comments over several lines: start, end, and the files that have them (null for any).
+_BLOCKS = (
+    (re.compile(r"/\*"), "*/", None),
+    (re.compile(r"<!--"), "-->", None),
+    (re.compile(r"[rRuU]?\"\"\""), '"""', None),
+    (re.compile(r"[rRuU]?'''"), "'''", None),
+    (re.compile(r"\(\*"), "*)", re.compile(r"\.(mli?|fsi?|pas|v|thy|sml)$")),
+    (re.compile(r"\{-"), "-}", re.compile(r"\.(l?hs|elm|purs|agda)$")),
+    (re.compile(r"--\[\["), "]]", re.compile(r"\.lua$")),
+    (re.compile(r"=begin\b"), "=end", re.compile(r"\.rb$")),
+)
+#: Lines that may stand above or within the comments at the head of a file.
+_PREAMBLE = re.compile(r"<\?(?:php|xml)\b|<!doctype|[\"']use strict[\"'];?$|package\s+[\w.]+;?$|---$", re.IGNORECASE)
+
+#: Where a first hunk may start, and the lines whose comments count although code stands above them.
 HEADER_LINES = 12
 MINIFIED_LINE = 160
 SHARE = 0.5
-DATA_LINES = 4
+#: Data counts in so many lines of its own, or so many characters anywhere (longer than hashes and keys).
+DATA_LINES, DATA_CHARACTERS = 4, 256
 
 
 def normal_path(path: Column) -> Column:
@@ -163,28 +182,50 @@ def _automaton():
     return auto
 
 
-def _header(lines: list[str]) -> list[str]:
-    """The lines at the head of the new file: those of a first hunk that starts near the top."""
-    head, seen = [], False
+def _deleted(lines: list[str]) -> bool:
+    """Whether nothing is left on the new side."""
+    return not any(x and x[0] not in "-\\" and not x.startswith("@@") for x in lines)
+
+
+def _header(lines: list[str], path: str = "") -> Iterator[str]:
+    """The comment lines at the head of the new file (the old one of a deleted file), in a
+    first hunk that starts near the top: all of the leading comments, and those among the
+    first lines."""
+    gone = _deleted(lines)
+    seen, leading, until, no = False, True, "", 0
     for line in lines:
         if line.startswith("@@"):
             m = _HUNK.match(line)
             if seen or (m and int(m[1]) > HEADER_LINES):
-                break
+                return
             seen = True
-        elif not line.startswith("-"):
-            head.append(line[1:].strip())
-            if len(head) >= HEADER_LINES:
+            continue
+        if line.startswith("\\") or line.startswith("-") != gone:
+            continue
+        no += 1
+        text = line[1:].strip()
+        if not leading and no > HEADER_LINES:
+            return
+        if until:
+            yield text
+            until = "" if until in text else until
+            continue
+        for start, stop, kinds in _BLOCKS:
+            if (m := start.match(text)) and (kinds is None or kinds.search(path)):
+                until = "" if stop in text[m.end() :] else stop
+                yield text
                 break
-    return head
+        else:
+            if _COMMENT.match(text):
+                yield text
+            elif text and not _PREAMBLE.match(text):
+                leading = False
 
 
-def notice_class(lines: list[str]) -> str | None:
+def notice_class(lines: list[str], path: str = "") -> str | None:
     """Class by the notices in comments of the file's head, or null."""
     auto = _automaton()
-    for line in _header(lines):
-        if not _COMMENT.match(line):
-            continue
+    for line in _header(lines, path):
         hits = [v for _, v in auto.iter(line.lower())]
         if any(kind == "veto" for kind, _ in hits):
             continue
@@ -195,32 +236,51 @@ def notice_class(lines: list[str]) -> str | None:
     return None
 
 
+def _random(literal: str | None) -> bool:
+    """Letters of both cases and digits, or hexadecimal digits alone; not paths and names. Escapes always are."""
+    if literal is None:
+        return True
+    digits = any(c.isdigit() for c in literal)
+    return digits and ((literal.lower() != literal and literal.upper() != literal) or not literal.lower().strip("0123456789abcdef"))
+
+
+def _inner_data(line: str) -> int:
+    """Characters of data literals and runs of numbers within a line."""
+    n = sum(len(m[0]) for m in _LITERAL.finditer(line) if _random(m["text"]))
+    return n + (sum(len(m[0]) for m in _RUN.finditer(line)) if line.count(",") + line.count(";") >= 16 else 0)
+
+
 def shape_class(path: str, lines: list[str]) -> str | None:
     """Class by the shape of all lines but remarks, of the new side (the old one of a deleted file), or null."""
     if not _CODE.search(path):
         return None
-    code = [x[1:] for x in lines if not x.startswith(("@@", "-"))] or [x[1:] for x in lines if x.startswith("-")]
+    gone = _deleted(lines)
+    code = [x[1:] for x in lines if not x.startswith(("@@", "\\")) and x.startswith("-") == gone]
     total = dense = data = rows = 0
     for line in code:
         if _REMARK.match(line):
             continue
         n = len(line)
         total += n
-        if n >= MINIFIED_LINE and sum(map(line.count, " \t")) < 0.12 * n and sum(map(line.count, "{};(),=:")) > 0.08 * n:
+        inner = _inner_data(line) if n >= 24 else 0
+        if inner >= SHARE * n:
+            data += inner
+            rows += bool(_NUMBERS.match(line) or _BLOB.match(line))
+        elif n >= MINIFIED_LINE and sum(map(line.count, " \t")) < 0.12 * n and sum(map(line.count, "{};(),=:")) > 0.08 * n:
             dense += n
         elif n >= 16 and (_NUMBERS.match(line) or _BLOB.match(line)):
             data += n
             rows += 1
     if total and dense >= SHARE * total:
         return "minified"
-    if rows >= DATA_LINES and data >= SHARE * total:
+    if (rows >= DATA_LINES or data >= DATA_CHARACTERS) and data >= SHARE * total:
         return "data"
     return None
 
 
 def content_class(path: str, patch: str) -> str | None:
     lines = patch.replace("\r\n", "\n").split("\n")
-    return notice_class(lines) or shape_class(path, lines)
+    return notice_class(lines, path) or shape_class(path, lines)
 
 
 @F.pandas_udf(T.StringType())

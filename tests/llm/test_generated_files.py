@@ -81,3 +81,48 @@ def test_edges(spark):
 def test_notices_in_the_past(head):
     assert content_class("a.kt", f"@@ -0,0 +1,3 @@\n+{head}\n+fun a() = 1\n+fun b() = 2") == "generated"
     assert content_class("a.kt", f"@@ -0,0 +1,3 @@\n+{head}, now maintained by hand\n+fun a() = 1\n+fun b() = 2") is None
+
+
+LICENCE = ["Copyright the authors", *(f"line {i} of the licence" for i in range(20))]
+
+
+@pytest.mark.parametrize("sign", ["+", "-"])
+@pytest.mark.parametrize(
+    ("path", "head"),
+    [
+        ("a.go", [f"// {x}" for x in LICENCE] + ["", "// Code generated by x. DO NOT EDIT."]),
+        ("a.kt", ["/*", *LICENCE, "This file is generated by x", "*/"]),
+        ("a.py", ['"""', *LICENCE, "This file is generated by x", '"""']),
+        ("a.php", ["<?php", "/*", *[f" * {x}" for x in LICENCE], " */", "// @generated"]),
+        ("a.ml", ["(*", *LICENCE, "generated by x", "*)"]),
+    ],
+)
+def test_whole_head_on_either_side(sign, path, head):
+    at = f"-0,0 +1,{len(head) + 1}" if sign == "+" else f"-1,{len(head) + 1} +0,0"
+    lines = [f"@@ {at} @@", *(sign + x for x in [*head, "let a = 1"]), "\\ No newline at end of file"]
+    assert content_class(path, "\n".join(lines)) == "generated"
+    plain = [x for x in lines if "enerated" not in x]
+    assert content_class(path, "\n".join([*plain, *[sign + "let b = 2"] * 9, sign + "// generated by x"])) is None
+
+
+def test_signs_of_other_languages_open_no_comment():
+    patch = "@@ -0,0 +1,4 @@\n+(*p).a = 1;\n+{-1, 2};\n" + "+x = 1;\n" * 12 + "+y = \"generated by x\";"
+    assert content_class("a.c", patch) is None
+
+
+@pytest.mark.parametrize("sign", ["+", "-"])
+def test_blobs_by_characters(sign):
+    blob = "AGFzbQEAAAAB9/+x" * 40
+    for code in (f'export const WASM = "{blob}";', f'data = (\n{sign}    "{blob[:300]}"\n{sign}    "{blob[300:]}"\n{sign})', "const T = [" + ", ".join(str(i * 7919 % 65536) for i in range(300)) + "];", 'b = b"' + "\\x1f\\x8b" * 60 + '"'):
+        assert content_class("a.ts", f"@@ -0,0 +1 @@\n{sign}{code}\n") == "data"
+    for code in (f'const KEY = "{blob[:64]}";', f'const A = "{blob[:300]}";\n' + f"{sign}fun a() = call(b)\n" * 40, "\n".join(sign + f'export * from "components/forms/inputs/text-input-with-label-{i}";' for i in range(9))[1:]):
+        assert content_class("a.ts", f"@@ -0,0 +1 @@\n{sign}{code}") is None
+
+
+def test_long_lines_of_data_cost_linear_time():
+    import time
+
+    began = time.time()
+    for line in ("'" + "a" * 200_000, "'a" * 100_000, "1,2,3,a," * 50_000, "1" * 200_000 + "," * 20, "\\x1f" * 50_000):
+        content_class("a.ts", f"@@ -0,0 +1 @@\n+x = {line}")
+    assert time.time() - began < 5
