@@ -86,13 +86,8 @@ class Breaker:
         return permitted, self.state
 
 
-def breaker_states(calls: DataFrame) -> DataFrame:
-    """``provider``, ``call_id``, ``permitted``, ``state`` for ``calls`` (``provider``,
-    ``at_ms``, ``call_id``, ``failed``, ``slow``) in order of time.
-
-    The machine is sequential, so each provider's calls run through one task, but as a
-    stream of sorted rows: memory is one batch, however many calls there are. Null
-    times are left out; null flags are false."""
+def _states(calls: DataFrame) -> DataFrame:
+    """``breaker_states`` with ``at_ms``."""
     clean = calls.where("at_ms IS NOT NULL").select("provider", F.col("at_ms").cast("bigint").alias("at_ms"), F.col("call_id").cast("bigint").alias("call_id"), F.coalesce("failed", F.lit(False)).alias("failed"), F.coalesce("slow", F.lit(False)).alias("slow"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,10 +97,25 @@ def breaker_states(calls: DataFrame) -> DataFrame:
             for provider, at, call, failed, slow in frame.itertuples(index=False):
                 if provider != now:
                     breaker, now = Breaker(), provider
-                out.append((provider, call, *breaker.call(at, bool(failed), bool(slow))))
-            yield pd.DataFrame(out, columns=["provider", "call_id", "permitted", "state"])
+                out.append((provider, at, call, *breaker.call(at, bool(failed), bool(slow))))
+            yield pd.DataFrame(out, columns=["provider", "at_ms", "call_id", "permitted", "state"])
+
+    return clean.repartition("provider").sortWithinPartitions("provider", "at_ms", "call_id").mapInPandas(run, "provider string, at_ms bigint, call_id bigint, permitted boolean, state string")
+
+
+def breaker_states(calls: DataFrame) -> DataFrame:
+    """``provider``, ``call_id``, ``permitted``, ``state`` for ``calls`` (``provider``,
+    ``at_ms``, ``call_id``, ``failed``, ``slow``) in order of time.
+
+    The machine is sequential, so each provider's calls run through one task, but as a
+    stream of sorted rows: memory is one batch, however many calls there are. Null
+    times are left out; null flags are false."""
+    return _states(calls).drop("at_ms")
+
 
-    return clean.repartition("provider").sortWithinPartitions("provider", "at_ms", "call_id").mapInPandas(run, "provider string, call_id bigint, permitted boolean, state string")
+def last_states(calls: DataFrame) -> DataFrame:
+    """``provider``, ``at_ms`` and ``state``: the breaker's state after each provider's last call."""
+    return _states(calls).groupBy("provider").agg(F.max("at_ms").alias("at_ms"), F.max_by("state", F.struct("at_ms", "call_id")).alias("state"))
 
 
 def provider_health(providers: DataFrame, states: DataFrame) -> DataFrame:
@@ -118,7 +128,7 @@ def start_provider(preference: Column, default: str) -> Column:
     return F.coalesce(F.nullif(preference, F.lit("auto")), F.lit(default))
 
 
-def resolve_fallback(requests: DataFrame, providers: DataFrame, outcomes: DataFrame, longest: int = 8) -> DataFrame:
+def resolve_fallback(requests: DataFrame, providers: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Which provider answers each request, by following fallbacks until one succeeds.
 
     ``requests``: ``request_id``, ``start``. ``providers``: ``name``, ``enabled``,
@@ -130,12 +140,12 @@ def resolve_fallback(requests: DataFrame, providers: DataFrame, outcomes: DataFr
     Chains depend on the start alone, so they are unrolled once over the table of
     providers and joined to the requests, one shuffle whatever the length."""
     spark = requests.sparkSession
-    rows = providers.select("name", "enabled", "fallback_to").limit(10_000).collect()  # a settings table
+    rows = providers.select("name", "enabled", "fallback_to").collect()  # a settings table
     config = {r.name: r for r in rows}
     chains = []
     for start in config:
         at, path = start, []
-        while at is not None and at not in path and len(path) < longest:
+        while at is not None and at not in path:
             path.append(at)
             at = config[at].fallback_to if at in config and config[at].enabled else None
         chains += [(start, i, name, bool(name in config and config[name].enabled), path[:i][::-1]) for i, name in enumerate(path)]

@@ -132,6 +132,12 @@ def provider_health(spark, sf_dir):
     return health.provider_health(_providers(spark), states)
 
 
+@REGISTRY.query("provider_health_measured")
+def provider_health_measured(spark, sf_dir):
+    """With the breakers' states after all calls."""
+    return health.provider_health(_providers(spark), health.last_states(calls(spark, sf_dir)))
+
+
 @REGISTRY.query(
     "provider_fallback",
     f"""WITH s AS (SELECT id AS request_id, CASE WHEN model_preference IS NULL OR model_preference = 'auto' THEN 'claude' ELSE model_preference END AS start, {_N} % 3 <> 0 AS c, {_N} % 5 <> 0 AS o, {_N} % 2 = 0 AS i FROM repositories)
@@ -200,6 +206,12 @@ def breaker_gauge(spark, sf_dir):
     return metrics.gauge(calls(spark, sf_dir), "model.circuit.state", ["provider"], metrics.breaker_value(state), ["at_ms", "call_id"])
 
 
+@REGISTRY.query("breaker_gauge_measured")
+def breaker_gauge_measured(spark, sf_dir):
+    """The gauge over the breakers' states after all calls."""
+    return metrics.gauge(health.last_states(calls(spark, sf_dir)), "model.circuit.state", ["provider"], metrics.breaker_value(F.col("state")), ["at_ms"])
+
+
 @REGISTRY.query("request_final_status", f"WITH {REQUESTS} SELECT id AS request_id, status FROM req WHERE status IS NOT NULL")
 def request_final_status(spark, sf_dir):
     """Event logs that lead to each request's status, failed and retried ones among them, through the state machine."""

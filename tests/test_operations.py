@@ -173,3 +173,19 @@ def test_status_in_a_stream(spark, tmp_path):
 
     status.status_updates(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert seen == WANT
+
+
+def test_last_states_are_the_breakers(spark):
+    rows = [(f"p{s}", at, i, f, w) for s in range(20) for i, (at, f, w) in enumerate(sequence(s))]
+    df = spark.createDataFrame(rows, "provider string, at_ms bigint, call_id bigint, failed boolean, slow boolean").repartition(4)
+    got = {r.provider: (r.at_ms, r.state) for r in health.last_states(df).collect()}
+    assert got == {f"p{s}": (q[-1][0], model(q)[-1][1]) for s in range(20) if (q := sequence(s))}
+    assert len({state for _, state in got.values()}) > 1
+
+
+def test_fallback_follows_long_chains(spark):
+    providers = spark.createDataFrame([(f"p{i}", True, f"p{i + 1}" if i < 19 else "p0") for i in range(20)], "name string, enabled boolean, fallback_to string")
+    asks = spark.createDataFrame([("1", "p0"), ("2", "p0")], "request_id string, start string")
+    bad = spark.createDataFrame([(r, f"p{i}", False) for r, n in (("1", 19), ("2", 20)) for i in range(n)], "request_id string, name string, ok boolean")
+    got = {r.request_id: (r.answered_by, r.outcome) for r in health.resolve_fallback(asks, providers, bad).collect()}
+    assert got == {"1": ("p19", "OK"), "2": (None, "FAILED")}
