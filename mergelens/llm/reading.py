@@ -26,7 +26,8 @@ GRADES = {"basic": 0.0, "standard": 0.5, "demanding": 1.0}
 MOST_SAMPLES = 20_000
 #: Weight of all samples together, against that of all documents.
 SAMPLE_MASS = 1.0
-ROUNDS, STILL = 12, 1e-3
+#: The largest change of a score at which all stand, and the rounds after which it is an error that they don't.
+STILL, ROUNDS = 1e-3, 1000
 
 
 def _words(text: Column) -> Column:
@@ -116,7 +117,7 @@ def _border(scores: np.ndarray, above: np.ndarray) -> float:
 
 
 def fit(graph: DataFrame, samples: list[tuple[np.ndarray, float]], rounds: int = ROUNDS) -> Level:
-    """Propagates from ``samples`` (nodes, grade) over ``graph`` (a column ``nodes``)."""
+    """Propagates from ``samples`` (nodes, grade) over ``graph`` (a column ``nodes``), until no score changes by ``STILL``; not to get there in ``rounds`` is an error."""
     _, count = _node_sums(graph, None, None)
     documents = float(graph.count())
     share = SAMPLE_MASS * max(1.0, documents) / max(1, len(samples))
@@ -135,6 +136,8 @@ def fit(graph: DataFrame, samples: list[tuple[np.ndarray, float]], rounds: int =
             score = new
             if change < STILL:
                 break
+        else:
+            raise RuntimeError(f"the scores don't stand after {rounds} rounds")
         shadows = []  # each sample's score by all words' scores without its own part
         for nodes, grade in samples:
             den = known[nodes] + s_count[nodes] - share

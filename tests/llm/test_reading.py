@@ -59,3 +59,20 @@ def test_edges(tables):
     assert R.reading_levels(docs.limit(0), samples).count() == 0
     with pytest.raises(ValueError, match="bands"):
         R.reading_levels(docs, samples.where("band != 'basic'"))
+
+
+def test_scores_of_a_long_chain_stand(spark):
+    """Scores that need more than a dozen rounds to cross the graph."""
+    graph = spark.createDataFrame([([i, i + 1],) for i in range(30)], "nodes array<int>").coalesce(1).cache()
+    graded = [(np.array([0]), 0.0), (np.array([15]), 0.5), (np.array([30]), 1.0)]
+    level = R.fit(graph, graded)
+    top, known = R._node_sums(graph, level.score, level.weight)
+    share = 30 / 3
+    for nodes, grade in graded:
+        top[nodes] += share * grade
+        known[nodes] += share
+    at = np.arange(31)
+    assert not np.isnan(level.score[at]).any()
+    assert np.abs(top[at] / known[at] - level.score[at]).max() < R.STILL
+    with pytest.raises(RuntimeError, match="stand"):
+        R.fit(graph, graded, rounds=5)
