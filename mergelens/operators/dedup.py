@@ -56,22 +56,35 @@ def keep_one(df: DataFrame, id_column: str = "review_request_id", number_column:
     return kept.unionByName(df.where(normal_id(id_column).isNull()))
 
 
-def delivery_pairs(df: DataFrame, id_column: str = "review_request_id", number_column: str = "pull_request_number", time_column: str = "received_at", tie_column: str = "delivery_id") -> DataFrame:
+#: Deliveries of one message in a block; pairs are made between blocks, so no task gets all of a hot message.
+BLOCK = 512
+
+
+def delivery_pairs(df: DataFrame, id_column: str = "review_request_id", number_column: str = "pull_request_number", time_column: str = "received_at", tie_column: str = "delivery_id", block: int = BLOCK) -> DataFrame:
     """Each pair of deliveries of one message, smaller ``tie_column`` first.
 
-    The aggregate says which messages were delivered more than once; only their
-    deliveries are paired. Pairs are the asked-for result, so a message with k
-    deliveries gives k(k-1)/2 rows; adaptive execution splits a skewed key.
-    Deliveries with a null ``tie_column`` have no name and form no pair.
+    The aggregate gives each message the delivery that is kept, by ``min_by``; that one
+    stands for the message, and every delivery of a repeated message is joined to it.
+    Pairs are made within a representative. They are the asked-for result, so k
+    deliveries give k(k-1)/2 rows; a message with more than ``block`` deliveries is cut
+    into blocks by hash, and each pair of blocks is a join key of its own.
+    Deliveries with a null ``tie_column`` have no name and form no pair, and several
+    rows of one name are one delivery; a name that stands in two messages pairs in both.
     """
     a, b = f"{tie_column}_a", f"{tie_column}_b"
-    repeated = delivery_groups(df, id_column, number_column, time_column, tie_column, [tie_column]).where(F.col("deliveries") > 1).select("message_id", "message_number")
-    keyed = df.select(normal_id(id_column).alias("message_id"), F.col(number_column).alias("message_number"), F.col(tie_column).alias("tie")).where(F.col("message_id").isNotNull() & F.col("tie").isNotNull())
-    again = keyed.alias("k").join(repeated.alias("r"), (F.col("k.message_id") == F.col("r.message_id")) & F.col("k.message_number").eqNullSafe(F.col("r.message_number")), "left_semi")
-    left = again.select(F.col("message_id").alias("id_a"), F.col("message_number").alias("no_a"), F.col("tie").alias(a))
-    right = again.select(F.col("message_id").alias("id_b"), F.col("message_number").alias("no_b"), F.col("tie").alias(b))
-    pairs = left.join(right, (F.col("id_a") == F.col("id_b")) & F.col("no_a").eqNullSafe(F.col("no_b")) & (F.col(a) < F.col(b)))
-    return pairs.select(a, b).distinct()
-
-
-__all__ = ["delivery_groups", "delivery_pairs", "fresh", "keep_one", "normal_id"]
+    df = df.where(F.col(tie_column).isNotNull())
+    groups = delivery_groups(df, id_column, number_column, time_column, tie_column, [tie_column]).where(F.col("deliveries") > 1)
+    kept = groups.select(F.col("message_id").alias("m"), F.col("message_number").alias("n"), F.struct(F.xxhash64("message_id", "message_number").alias("message"), F.col("kept")[tie_column].alias("kept")).alias("representative"), "deliveries")
+    keyed = df.select(normal_id(id_column).alias("message_id"), F.col(number_column).alias("message_number"), F.col(tie_column).alias("tie")).where(F.col("message_id").isNotNull())
+    named = keyed.join(kept, (F.col("message_id") == F.col("m")) & F.col("message_number").eqNullSafe(F.col("n")))
+    blocks = F.ceil(F.col("deliveries") / block).cast("int")
+    # of all rows with one name in a message one is left
+    each = named.groupBy("representative", "tie").agg(F.max(blocks).alias("blocks")).withColumn("own", F.pmod(F.xxhash64("tie"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least("own", other).alias("low"), F.greatest("own", other).alias("high")))
+    spread = each.select("representative", "tie", "own", F.explode(meets).alias("at")).select("representative", "tie", "own", "at.low", "at.high")
+    left, right = spread.alias("l"), spread.alias("r")
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("representative", "low", "high")]
+    # within a block each pair once; between two blocks one side from either
+    sides = (F.col("l.low") == F.col("l.high")) | (F.col("l.own") != F.col("r.own"))
+    pairs = left.join(right, same[0] & same[1] & same[2] & (F.col("l.tie") < F.col("r.tie")) & sides)
+    return pairs.select(F.col("l.tie").alias(a), F.col("r.tie").alias(b))

@@ -45,6 +45,9 @@ def test_hot_key_equals_brute_force(spark):
     key = lambda r: (r[1].strip().lower(), r[2]) if r[1] and r[1].strip() else None
     want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if key(a) and key(a) == key(b)}
     assert {(r.delivery_id_a, r.delivery_id_b) for r in dedup.delivery_pairs(df).collect()} == want
+    for block in (1, 7):  # a hot message in many blocks gives the same pairs, each once
+        got = [(r.delivery_id_a, r.delivery_id_b) for r in dedup.delivery_pairs(df, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
     kept = {r.delivery_id for r in dedup.keep_one(df).collect()}
     groups = {}
     for r in rows:
@@ -52,3 +55,11 @@ def test_hot_key_equals_brute_force(spark):
     assert kept == {min(g, key=lambda r: (r[3], r[0]))[0] for g in groups.values()}
     plan = dedup.delivery_groups(df, "review_request_id", "pull_request_number", "received_at", "delivery_id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Aggregate(") >= 2  # one before the shuffle, one after
+
+
+def test_pairs_come_through_the_aggregate(spark):
+    """The representative of each message is the delivery that ``min_by`` keeps."""
+    df = table(spark, [(1, "a", 1, at(3), 1), (2, "A", 1, at(2), 1), (3, "b", 1, at(2), 1), (None, "a", 1, at(0), 1)])
+    pairs = dedup.delivery_pairs(df)
+    assert "min_by" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in pairs.collect()] == [(1, 2)]
