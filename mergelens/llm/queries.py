@@ -48,6 +48,15 @@ def p2_pieces(spark, sf_dir):
     return splitting.split_review_items(*(scan(spark, sf_dir, t) for t in ("file_diffs", "review_prompts", "size_limits")))
 
 
+@REGISTRY.query("p2_checked", _LONG_ITEMS.replace("SELECT item_kind, row_id, hunk_no FROM", "SELECT item_kind, row_id, hunk_no, md5(item_text) AS digest, true AS within, true AS lapped FROM"))
+def p2_checked(spark, sf_dir):
+    """Each cut item's text as its pieces join up to it, and whether they keep to the size and the overlap."""
+    limits = scan(spark, sf_dir, "size_limits").select("item_kind", "max_chars", "overlap_chars")
+    got = p2_pieces(spark, sf_dir).join(limits, "item_kind")
+    back = splitting.rejoined(got, ["item_kind", "row_id", "hunk_no"], F.col("overlap_chars"), F.col("max_chars"))
+    return back.select("item_kind", "row_id", "hunk_no", F.md5("joined").alias("digest"), "within", "lapped")
+
+
 @REGISTRY.query("p4_found")
 def p4_found(spark, sf_dir):
     texts = credentials.code_texts(scan(spark, sf_dir, "file_diffs"), scan(spark, sf_dir, "review_prompts"))

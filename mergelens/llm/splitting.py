@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mergelens.session import fresh
+from mergelens.session import fresh, ship
 
 #: Boundary levels, best first: before a hunk or file header, after a line feed, after white space, anywhere.
 HUNK, LINE, WORD, ANY = 0, 1, 2, 3
@@ -53,12 +53,14 @@ def successors(nodes: np.ndarray, levels: list[np.ndarray], end: int, size: int,
 
     A piece from cut c begins at c - overlap (at 0 from the start) and holds ``size``
     code points at most. The best level with a boundary in the last ``fill`` part of
-    the window wins, then the best one anywhere in it, then the hard limit.
+    the window wins, then the best one anywhere in it, then the hard limit. The first
+    piece is no shorter than the overlap that the second one repeats.
     """
     high = np.where(nodes == 0, size, nodes + size - overlap)
-    late = nodes + ((high - nodes) * (1 - fill)).astype(np.int64)
+    floor = np.where(nodes == 0, max(0, overlap - 1), nodes)
+    late = np.maximum(floor, nodes + ((high - nodes) * (1 - fill)).astype(np.int64))
     out = np.full(len(nodes), -1, dtype=np.int64)
-    for low in (late, nodes):
+    for low in (late, floor):
         for positions in levels:
             found = _last(positions, low, high)
             out = np.where(out < 0, found, out)
@@ -113,17 +115,23 @@ def pieces(text: str, size: int, overlap: int, fill: float = 0.5) -> list[tuple[
     return [(max(0, a - overlap) if a else 0, b) for a, b in zip(at[:-1], at[1:])]
 
 
-_PIECES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+_SPAN = [T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
 
 
-@F.pandas_udf(_PIECES)
+@F.pandas_udf(T.ArrayType(T.StructType(_SPAN)))
 def _split(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, sizes, overlaps in batches:
         yield pd.Series([None if t is None else [{"start": a, "end": b} for a, b in pieces(t, int(n), int(o))] for t, n, o in zip(texts, sizes, overlaps)], dtype=object)
 
 
-#: A deterministic function would be run once more, in a filter on the size of its result.
-_split = _split.asNondeterministic()
+@F.pandas_udf(T.ArrayType(T.StructType([*_SPAN, T.StructField("piece", T.StringType())])))
+def _split_texts(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, sizes, overlaps in batches:
+        yield pd.Series([None if t is None else [{"start": a, "end": b, "piece": t[a:b]} for a, b in pieces(t, int(n), int(o))] for t, n, o in zip(texts, sizes, overlaps)], dtype=object)
+
+
+#: Deterministic functions would be run once more, in a filter on the size of their result.
+_split, _split_texts = _split.asNondeterministic(), _split_texts.asNondeterministic()
 
 
 def split_items(df: DataFrame, text: str, size: Column, overlap: Column, keys: list[str], with_text: bool = True, only_cut: bool = False) -> DataFrame:
@@ -138,23 +146,36 @@ def split_items(df: DataFrame, text: str, size: Column, overlap: Column, keys: l
     a null overlap is 0. Equal rows give equal pieces; an empty table none. Clashing
     names among ``keys`` and the new columns raise an error of Spark's.
     """
+    ship(df.sparkSession)
     body, limit, lap, spans, span = fresh(keys, "text_", "limit_", "lap_", "spans_", "span_")
     checked = F.when((size >= 1) & (F.coalesce(overlap, F.lit(0)) >= 0) & (F.coalesce(overlap, F.lit(0)) < size), size.cast("int")).when(size.isNull(), F.lit(None).cast("int")).otherwise(F.raise_error(F.lit("the overlap must be smaller than the size")).cast("int"))
     base = df.select(*keys, F.col(text).alias(body), checked.alias(limit), F.coalesce(overlap, F.lit(0)).cast("int").alias(lap)).where(F.col(body).isNotNull() & F.col(limit).isNotNull())
     big = F.when(F.length(body) > F.col(limit), F.col(body))
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(body).alias("end")))
-    cut = base.withColumn(spans, F.coalesce(_split(big, F.col(limit), F.col(lap)), whole))
+    # the texts of the pieces come from Python, where a slice costs its own length only
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(body).alias("end"), *([F.col(body).alias("piece")] if with_text else [])))
+    cut = base.withColumn(spans, F.coalesce((_split_texts if with_text else _split)(big, F.col(limit), F.col(lap)), whole))
     if only_cut:
         cut = cut.where(F.size(spans) > 1)
-    return cut.select(*keys, *([body] if with_text else []), F.posexplode(spans).alias("at", span)).select(
+    return cut.select(*keys, F.posexplode(spans).alias("at", span)).select(
         *keys,
         (F.col("at") + 1).alias("piece_no"),
         F.col(f"{span}.start").alias("start_char"),
         F.col(f"{span}.end").alias("end_char"),
-        *([F.substring(F.col(body), F.col(f"{span}.start") + 1, F.col(f"{span}.end") - F.col(f"{span}.start")).alias("piece")] if with_text else []),
+        *([F.col(f"{span}.piece").alias("piece")] if with_text else []),
     )
 
 
+def rejoined(pieces: DataFrame, keys: list[str], overlap: Column, longest: Column) -> DataFrame:
+    """What ``pieces`` say of each item: ``joined``, the text they join up to, and whether all are
+    within ``longest`` (``within``) and start with the ``overlap`` of the piece before (``lapped``)."""
+    at, lap, top, p = fresh(keys, "pieces_", "lap_", "top_", "p_")
+    grouped = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece"))).alias(at), F.max(overlap).alias(lap), F.max(longest).alias(top))  # one item's text
+    texts = grouped.withColumn(p, F.transform(at, lambda x: x["piece"]))
+    rest = F.transform(p, lambda x, i: F.when(i == 0, x).otherwise(F.substr(x, F.col(lap) + 1)))
+    lapped = F.forall(F.sequence(F.lit(1), F.size(p)), lambda i: (i == 1) | (F.left(F.get(p, i - 1), F.col(lap)) == F.right(F.get(p, i - 2), F.col(lap))))
+    return texts.select(*keys, F.array_join(rest, "").alias("joined"), F.forall(p, lambda x: F.length(x) <= F.col(top)).alias("within"), lapped.alias("lapped"))
+
+
 def hunk_text(hunk: Column) -> Column:
     """A hunk as text: the header, then each line after its sign (a space for any other type), joined by a line feed."""
 

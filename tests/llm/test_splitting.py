@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from mergelens.llm.splitting import pieces, split_items
+from mergelens.llm.splitting import pieces, rejoined, split_items
 
 
 def stepped(text, size, overlap, fill=0.5):
@@ -19,8 +19,9 @@ def stepped(text, size, overlap, fill=0.5):
         if high >= len(text):
             nxt = len(text)
         else:
-            late = at + int((high - at) * (1 - fill))
-            nxt = next((max(found) for low in (late, at) for level in levels if (found := [p for p in range(low + 1, high + 1) if level(p)])), high)
+            floor = max(0, overlap - 1) if at == 0 else at
+            late = max(floor, at + int((high - at) * (1 - fill)))
+            nxt = next((max(found) for low in (late, floor) for level in levels if (found := [p for p in range(low + 1, high + 1) if level(p)])), high)
         out.append((max(0, at - overlap) if at else 0, nxt))
         at = nxt
     return out
@@ -36,7 +37,7 @@ def test_doubling_equals_walking(seed):
     got = pieces(text, size, overlap)
     assert got == stepped(text, size, overlap)
     assert all(b - a <= size for a, b in got)
-    assert all(y[0] == max(0, x[1] - overlap) for x, y in zip(got, got[1:]))
+    assert all(y[0] == x[1] - overlap >= x[0] for x, y in zip(got, got[1:]))
     whole = text[: got[0][1]] + "".join(text[x[1] : y[1]] for x, y in zip(got, got[1:]))
     assert whole == text
 
@@ -63,3 +64,14 @@ def test_bad_overlap_raises(spark):
     df = spark.createDataFrame([Row(k=1, text="abc")])
     with pytest.raises(Exception, match="overlap"):
         split_items(df, "text", F.lit(2), F.lit(2), ["k"]).collect()
+
+
+def test_pieces_join_up(spark):
+    text = "".join(f"word{i} " if i % 7 else "\n" for i in range(60_000)) + "é🚀" * 2000
+    df = spark.createDataFrame([Row(k=1, p="x", text=text), Row(k=2, p="y", text="0123456789" * 50)])
+    got = split_items(df, "text", F.lit(200), F.lit(30), ["k", "p"]).cache()
+    back = {r.k: r for r in rejoined(got, ["k", "p"], F.lit(30), F.lit(200)).collect()}
+    assert back[1].joined == text and back[2].joined == "0123456789" * 50
+    assert all(r.within and r.lapped for r in back.values())
+    worse = {r.k: r for r in rejoined(got.withColumn("piece", F.concat(F.lit("!"), "piece")), ["k", "p"], F.lit(30), F.lit(200)).collect()}
+    assert not worse[1].within and not worse[2].lapped
