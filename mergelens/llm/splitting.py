@@ -33,12 +33,19 @@ def boundaries(text: str, codes: np.ndarray) -> list[np.ndarray]:
     """Cut positions of each level but ``ANY``, ascending; a cut at p parts p-1 from p."""
     lines = np.flatnonzero(codes == 10) + 1
     space = (codes == 32) | ((codes >= 9) & (codes <= 13)) | (codes == 0xA0) | (codes == 0x3000) | ((codes >= 0x2000) & (codes <= 0x200A))
-    heads = [p for p in lines.tolist() if text.startswith(_HEADS, p)]
+    heads = sorted(p for head in _HEADS for p in _after_line_feed(text, head))
     words = np.flatnonzero(space) + 1
     words = words[(words >= len(codes)) | (codes[np.minimum(words, len(codes) - 1)] != 10)]  # \r\n stays whole
     return [np.array(heads, dtype=np.int64), lines, words]
 
 
+def _after_line_feed(text: str, head: str) -> Iterator[int]:
+    at = text.find("\n" + head)
+    while at >= 0:
+        yield at + 1
+        at = text.find("\n" + head, at + 1)
+
+
 def _last(positions: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """For each window (low, high] the last position in it, or -1."""
     if not len(positions):
@@ -80,20 +87,25 @@ def cuts(text: str, size: int, overlap: int, fill: float = 0.5) -> np.ndarray:
     if end <= size:
         return np.array([0, end], dtype=np.int64)
     levels = boundaries(text, codes)
-    new = np.unique(np.concatenate([[0, end], *levels]))
+    seen = np.zeros(end + 1, dtype=bool)
+    for own in ([0, end], *levels):
+        seen[own] = True
+    new = np.flatnonzero(seen)
     known_next = np.empty(0, dtype=np.int64)
     known = np.empty(0, dtype=np.int64)
     while len(new):
         step = successors(new, levels, end, size, overlap, fill)
         known, known_next = np.concatenate([known, new]), np.concatenate([known_next, step])
-        new = np.setdiff1d(step, known)
+        new = np.unique(step[~seen[step]])
         if len(new):  # hard cuts: whole arithmetic runs at once, as far as no boundary comes between
             stride = size - overlap
             spaces = levels[WORD]
             at = np.searchsorted(spaces, new, side="right")
             limit = np.where(at < len(spaces), spaces[np.minimum(at, len(spaces) - 1)] if len(spaces) else end, end)
             runs = [np.arange(a, max(a + 1, b - stride), stride) for a, b in zip(new.tolist(), np.minimum(limit, end).tolist())]
-            new = np.setdiff1d(np.concatenate(runs), known)
+            new = np.concatenate(runs)
+            new = np.unique(new[~seen[new]])
+            seen[new] = True
     order = np.argsort(known, kind="stable")
     nodes, to = known[order], known_next[order]
     jump = np.searchsorted(nodes, to)
