@@ -1,11 +1,14 @@
 """Problem 4: credentials in source code and diffs, found by lexing and redacted in place.
 
-A text is lexed line by line where a trigger word or token prefix stands. A literal
-counts when it is assigned or passed to an identifier named like a credential, when
-it has the form of a known kind of token, or stands as the secret part of a URL, a
-header, a command or a remark; unless it is a placeholder, a reference to a value
-kept elsewhere, a hash, an id or a public key. Only the characters of the value are
-replaced, so quotes, escapes, signs and line ends around it stay.
+An automaton names the lines with a trigger word or token prefix. Such a line is cut
+into strings, comments, names, numbers and operators (``lexer``); a literal counts when
+it is assigned to an identifier named like a credential, stands beside one in a map, or
+is passed to it or under its name in a call, on this line or the ones that go on with
+it; inside comments and strings the same is looked for again. Besides, a literal counts
+when it has the form of a known kind of token, or stands as the secret part of a URL, a
+header, a command or a remark. Placeholders, references to a value kept elsewhere,
+hashes, ids and public keys never count. Only the characters of the value are replaced,
+so quotes, escapes, signs and line ends around it stay.
 """
 
 from __future__ import annotations
@@ -18,11 +21,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mergelens.session import fresh
+from mergelens.llm.lexer import COMMENT, NAME, NUMBER, OPERATOR, STRING, Lines, Token, tokens
+from mergelens.session import fresh, ship
 
 MASK = "REDACTED"
 
@@ -63,36 +67,36 @@ _NAME_PART = (
     + "|".join(PASS_KINDS)
     + r")[_.-]?pass(?![a-z])|(?<![a-z])creds?(?![a-z])|(?<![a-z])pass(?![a-z])|(?<![a-z])pw(?![a-z])|(?<![a-z])auth(?![a-z]))"
 )
+_NAMED = re.compile(_NAME_PART, re.IGNORECASE)
 #: Ends of identifiers that only speak about a credential.
 _ABOUT = re.compile(
     r"(?:name|names|file|path|dir|url|uri|endpoint|field|input|label|hint|prompt|placeholder|pattern|regex|format|length|len|min|max|size|count|limit|ttl|expiry|expires|expiration|timeout|age|type|kind|class|provider|manager|service|store|policy|rules?|repeat|confirm|confirmation|ref|reference|arn|id|ids|hash|hashed|digest|fingerprint|header|enabled|required|version|source|parser|tokenizer|tokenizers|index|column|param|parameter|error|message|strength|rotation|reset|alias)$",
     re.IGNORECASE,
 )
-#: All patterns from here on are matched at a known place, never searched for along a line.
-_REST = _NAME_PART + r"[A-Za-z0-9_$-]*"
-_QUOTED = r"(?P<q>\"\"\"|[\"'`])(?P<val>(?:\\.|(?!(?P=q))[^\\])*+)(?P=q)"
-#: name = "value", name: 'value', "name": "value", name := `value`, name => "value", ["name"] = "value"
-_ASSIGN = re.compile(rf"{_REST}[\"'`]?\]?\s*(?::\s*[A-Za-z][\w.<>?]*\s*)?(?::=|=>|=(?![=~])|:)\s*\(?\s*(?:[A-Za-z]{{1,2}}(?=[\"']))?{_QUOTED}", re.IGNORECASE)
-#: name=value and name: value without quotes, up to white space or a separator
-_PLAIN = re.compile(rf"{_REST}[\"'`]?\s*(?:=(?![=~])|:(?!:))\s*(?P<val>[^\s\"'`;,&]+)", re.IGNORECASE)
-#: a remark of the name, then the value
-_AFTER = re.compile(rf"{_REST}\s+(?P<val>[^\s\"'`;,]+)\s*$", re.IGNORECASE)
-#: f("name", "value") and name("value")
-_PASSED = re.compile(rf"(?:{_REST}|x-auth|x-api-key|private-token|(?:proxy-)?authorization)[\"']\s*,\s*{_QUOTED}", re.IGNORECASE)
-_CALLED = re.compile(rf"{_REST}\(\s*{_QUOTED}\s*\)", re.IGNORECASE)
-#: an open assignment whose value stands on a following line
-_OPEN = re.compile(rf"{_REST}[\"'`]?\s*(?::\s*[A-Za-z][\w.<>?]*\s*)?(?P<how>:\s*[|>][+-]?\d?|(?::=|=|:)\s*\(?)\s*\\?$", re.IGNORECASE)
+#: A value without quotes behind ``=`` or ``:``, up to white space or a separator.
+_BARE = re.compile(r"\s*(?P<val>[^\s\"'`;,&]+)")
+#: The rest of a remark, or of a setting of an image, that is one name and its value.
+_LAST = re.compile(r"\s+(?P<val>[^\s\"'`;,]+)\s*$")
+#: An element named like a credential, in markup.
+_ELEMENT = re.compile(r">\s*(?P<val>[^<>\s]+)\s*</")
+_NAME_KEY = re.compile(r"[A-Za-z0-9_$.:/ -]+")
+_HEADER_NAMES = frozenset(("x-auth", "x-api-key", "private-token", "authorization", "proxy-authorization"))
+#: Operators that give a value to what stands before them.
+_ASSIGNS = frozenset(("=", ":=", "=>", ":", "?=", "||=", "??="))
+_PAIRS = {")": "(", "]": "[", "}": "{"}
 _READS = re.compile(r"(?:get|read|fetch|load|find|lookup|resolve|decode|parse|check|is|has|validate|verify|show|print|log|warn|error|env|render|describe|expect|test)", re.IGNORECASE)
 _HEADER = re.compile(r"(?:authorization|x-auth|x-api-key|private-token|x-auth-token)[\"']?\s*[:,=]\s*[\"']?(?:(?P<kind>bearer|basic|token|digest|apikey)\s+)(?P<val>[A-Za-z0-9._~+/=-]{8,})", re.IGNORECASE)
 _BEARER = re.compile(r"(?<=[\"'])(?P<kind>bearer|basic)\s+(?P<val>[A-Za-z0-9._~+/=-]{8,})[\"']", re.IGNORECASE)
 _URL = re.compile(r"://(?P<user>[^\s/:@\"'<>]*):(?P<val>[^\s/@\"'<>]+)@[A-Za-z0-9\[]")
-_DOCKER_AUTH = re.compile(r"auth\"\s*:\s*\"(?P<val>[A-Za-z0-9+/=]{8,})\"")
 #: Commands by their first words; each option is searched for once, up to the end of the line.
 _PROGRAMS = (
     (("docker", "podman", "helm", "oc", "az", "npm", "buildah", "skopeo"), re.compile(r"\blogin\b"), re.compile(r"\s(?:-p|--password)[\s=]+[\"']?(?P<val>[^\s\"']+)")),
     (("mysql", "mysqldump", "mysqladmin", "mariadb"), None, re.compile(r"\s(?:-p|--password=)[\"']?(?P<val>[^\s\"']{4,})")),
     (("curl", "wget"), None, re.compile(r"\s(?:-u|--user|--auth)[\s=]++[\"']?[^\s:\"']++:(?P<val>[^\s\"']+)")),
+    (("login", "log in", "log\tin"), None, re.compile(r"(?<=\s)[^\s/]++\s*+/\s*+(?P<val>\S+)")),
 )
+#: The last of them is a remark of a name and a password.
+_LOGIN = len(_PROGRAMS) - 1
 _OPTIONS = ("--password", "--token", "--secret", "--api-key", "--access-token", "--client-secret")
 #: Commands by their first words, matched from there on.
 _COMMANDS = (
@@ -109,16 +113,12 @@ REMARK_KINDS = (*KEY_AGES, "api", "access", "secret", "shared", "master")
 _REMARKS = (
     (REMARK_WORDS, re.compile(r"\b(?:" + "|".join(REMARK_WORDS) + r")\b(?:\s+(?:for|of|on)\s+\S+)?\s*(?:(?:is|was|are|->|=>|=|:)\s*)+[\"'`]?(?P<val>[^\s\"'`,;]+)", re.IGNORECASE)),
     (REMARK_KINDS, re.compile(r"\b(?:" + "|".join(REMARK_KINDS) + r")\s+(?:key|token|secret|password|pw|pass)\b\s*(?:is|was|:|=)?\s*[\"'`]?(?P<val>[^\s\"'`,;]+)", re.IGNORECASE)),
-    (("login", "log in", "log\tin"), re.compile(r"\blog\s?in\b.{0,60}?\s\S+\s*/\s*(?P<val>\S+)", re.IGNORECASE)),
 )
 _REMARK_LINE = re.compile(r"\s*(?:--|#|//|;|/?\*|%|>|<!--|[-*] |\d+\. |[A-Z])")
-_MARKER = re.compile(r"\s*(?:--|#|//|;|\*|%|>)\s*")
 _PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BODY = re.compile(r"[A-Za-z0-9+/=]{12,}|[A-Za-z-]+: .*|")
-_NEXT_QUOTED = re.compile(rf"\s*\(?\s*(?:[A-Za-z]{{1,2}}(?=[\"']))?{_QUOTED}")
-_NEXT_PLAIN = re.compile(r"\s*(?P<val>\S+)\s*$")
-_LITERAL = re.compile(_QUOTED)
+_LITERAL = re.compile(r"(?P<q>\"\"\"|[\"'`])(?P<val>(?:\\.|(?!(?P=q))[^\\])*+)(?P=q)")
 _JOINED = re.compile(r"\s*(?:\+|\.\.|\.concat\(|\.plus\(|&|\|\||\.)\s*")
 
 _PLACE = re.compile(
@@ -176,7 +176,7 @@ _SPEAKS = re.compile(r"passwor[dt]|passwd|passphrase|secret|token|credential|ken
 _TYPES = re.compile(r"(?:string|str|text|varchar|char|number|integer|int|boolean|bool|object|required|optional|include|omit|same-origin|basic|bearer|digest)", re.IGNORECASE)
 #: Words that sentences have and passphrases of random words don't.
 _SENTENCE = re.compile(r"(?<!\w)(?:the|an?|is|are|was|be|must|should|can|cannot|not|no|please|enter|with|without|for|from|of|or|and|to|your|you|we|this|that|at|least|invalid|wrong|missing|required|failed|der|die|das|ist|bitte|oder|und|le|la|les|est|el|los|es|por|favor)(?!\w)", re.IGNORECASE)
-_SETS = re.compile(r"(?:put|set|add|append|with|header|param|parameter|property|option|config|env|define|field|entry|pair)\w*\(\s*[\"']$", re.IGNORECASE)
+_SETS = re.compile(r"(?:put|set|add|append|with|header|param|parameter|property|option|config|env|define|field|entry|pair)", re.IGNORECASE)
 
 
 def assigned(value: str, name: str) -> bool:
@@ -279,46 +279,250 @@ def _token_at(text: str, at: int, begin: int, end: int) -> list[tuple[int, int]]
     return []
 
 
-def _named_at(text: str, at: int, begin: int, end: int) -> list[tuple[int, int]]:
-    """Literals assigned or passed to the identifier with a credential word at ``at``."""
-    spans: list[tuple[int, int]] = []
-    start = _name_start(text, at, max(begin, at - 120))
-    for pattern in (_ASSIGN, _PASSED, _CALLED):
-        m = pattern.match(text, at, end)
-        if not m:
-            continue
-        name = text[start : at + len(_WORD.match(text, at, end)[0])]
-        if _ABOUT.search(name) or (pattern is _PASSED and (start == begin or text[start - 1] not in "\"'")) or (pattern is _CALLED and _READS.match(name.rpartition(".")[2])):
-            continue
-        parts = _chain(text, m.start("q"), end)
-        whole = "".join(p[2] for p in parts)
-        # a second text may be one more name of a list, and a call may look a value up by its name
-        free = pattern is _ASSIGN or (pattern is _PASSED and _SETS.search(text, max(begin, start - 60), start)) or (pattern is _CALLED and "secret" not in name.lower())
-        if parts and (assigned(whole, name) if free else live(whole)):
-            spans += [p[:2] for p in parts]
-    for pattern in (_PLAIN, _AFTER):
-        m = pattern.match(text, at, end)
-        if not m or (pattern is _AFTER and not _MARKER.fullmatch(text, begin, start)):
-            continue
-        name, v = text[start : at + len(_WORD.match(text, at, end)[0])], m["val"]
-        fits = given(v) if start > begin and text[start - 1] in "?&;" else live(v, 8)  # a field of an address or connection string
-        if fits and not (_ABOUT.search(name) or _CODE.match(v) or v.startswith(("http://", "https://", "//"))):
-            spans.append(m.span("val"))
-    if m := _DOCKER_AUTH.match(text, at, end):
-        if _basic(m["val"]):
-            spans.append(m.span("val"))
-    return spans
+@lru_cache(maxsize=65536)
+def _credential(name: str) -> bool:
+    """Whether an identifier names a credential by its last part, and not something about one."""
+    last = name.rfind(".")
+    return any(m.end() > last + 1 for m in _NAMED.finditer(name)) and not _ABOUT.search(name)
+
+
+class _Open:
+    """An open bracket: what is called or assigned by it, and the argument before the current one if it is one word or literal."""
+
+    __slots__ = ("callee", "target", "key", "first", "count")
+
+    def __init__(self, callee: str, target: tuple[str, int] | None) -> None:
+        self.callee, self.target = callee, target
+        self.key, self.first, self.count = None, None, 0
+
+
+class _Reader:
+    """Reads the tokens of one line, and of those that go on with it, for literals given to identifiers named like credentials."""
+
+    def __init__(self, text: str, found: list[Token], end: int, more: Iterator[list[Token]] = iter(()), hits: list[int] = (), within: str | None = None) -> None:
+        self.text, self.found, self.end, self.more, self.hits, self.within = text, found, end, more, hits, within
+        self.own = len(found)  # tokens of the line itself
+        self.spans: list[tuple[int, int]] = []
+        self.stack: list[_Open] = []
 
+    def pull(self) -> bool:
+        """Adds the tokens of the next line."""
+        for new in self.more:
+            self.found = [*self.found, *new]
+            return True
+        return False
+
+    def at(self, i: int) -> Token | None:
+        return self.found[i] if 0 <= i < len(self.found) else None
+
+    def left(self, i: int) -> tuple[str, int] | None:
+        """The identifier or key that the operator at ``i`` gives a value to, and where it starts."""
+        op, j = self.found[i].text, i - 1
+        t = self.at(j)
+        if t is None:
+            return None
+        if t.kind == STRING:
+            return (t.text, t.low) if _NAME_KEY.fullmatch(t.text) else None
+        if op == ":" and t.text == "?":
+            j, t = j - 1, self.at(j - 1)
+        if t is not None and t.text == "]" and op != ":":
+            if (key := self.at(j - 1)) and key.kind == STRING and (o := self.at(j - 2)) and o.text == "[":
+                return key.text, key.low
+            if key and key.text == "[" and (t := self.at(j - 2)):
+                j -= 2
+        if t is None or (t.kind == NAME and (op == ":" or _credential(t.text))):
+            return (t.text, t.start) if t else None
+        while (t := self.at(j)) and (t.kind == NAME or t.text in "<>[]?|,.*&"):
+            j -= 1
+        if t and t.text == ":" and (t := self.at(j - 1)) and t.kind in (NAME, STRING):
+            return t.text, t.low
+        return None
+
+    def chain(self, i: int, grouped: bool) -> tuple[list[Token], int]:
+        """The literal at ``i`` with those joined to it, and the index behind them."""
+        parts, k = [self.found[i]], i + 1
+        while True:
+            if k >= len(self.found) and grouped and not self.pull():
+                break
+            t = self.at(k)
+            if t is None:
+                break
+            if t.kind == STRING and grouped:
+                parts, k = [*parts, t], k + 1
+                continue
+            if t.kind != OPERATOR or t.text not in ("+", ".", "&", "||", "\\"):
+                break
+            n, called = k + 1, False
+            while (x := self.at(n)) and x.text in (".", "concat", "plus", "("):
+                called |= x.text == "("
+                n += 1
+            if n >= len(self.found) and t.text != "." and not self.pull():
+                break
+            x = self.at(n)
+            if x is None or x.kind != STRING:
+                break
+            parts, k = [*parts, x], n + 1
+            if called and (x := self.at(k)) and x.text == ")":
+                k += 1
+        return parts, k
+
+    def bare(self, target: tuple[str, int], i: int) -> int:
+        """Looks at a value without quotes behind the operator at ``i``; gives the index behind it."""
+        name, start = target
+        m = _BARE.match(self.text, self.found[i].end, self.end)
+        if not m:
+            return i + 1
+        v = m["val"]
+        sure = start > 0 and self.text[start - 1] in "?&;"  # a field of an address or connection string
+        fits = given(v) if sure else live(v, 4 if _CHOSEN.search(name) and not v.isdigit() else 8)
+        if fits and not _CODE.match(v) and not v.startswith(("http://", "https://", "//")):
+            self.spans.append(m.span("val"))
+            i += 1
+            while (t := self.at(i)) and t.start < m.end("val"):
+                i += 1
+            return i
+        return i + 1
+
+    def passed(self, i: int) -> str | None:
+        """The name under which the literal at ``i`` is passed, by the callee or the argument before it; an empty one for headers."""
+        if not self.stack or i == 0 or self.found[i - 1].text not in "([{,":
+            return None
+        own = self.stack[-1]
+        last = own.callee.rpartition(".")[2]
+        if own.callee and _credential(own.callee) and not _READS.match(last):
+            return own.callee
+        if self.found[i - 1].text == "," and own.key is not None:
+            if own.key.lower() in _HEADER_NAMES:
+                return ""
+            if _NAME_KEY.fullmatch(own.key) and _credential(own.key):
+                return own.key
+        return None
 
-def _program_at(text: str, at: int, end: int, options: dict) -> list[tuple[int, int]]:
+    def fits(self, whole: str, name: str, first: bool) -> bool:
+        own = self.stack[-1]
+        if not name:
+            return live(whole, 8)
+        last = own.callee.rpartition(".")[2]
+        # a call may look a value up by its name, and a second text may be one more name of a list
+        free = ("secret" not in name.lower() and (first or _SETS.search(last))) if name == own.callee else bool(_SETS.search(last))
+        return assigned(whole, name) if free else live(whole)
+
+    def read(self) -> list[tuple[int, int]]:
+        i, target, asked = 0, None, False
+        while True:
+            if i >= len(self.found):
+                last = self.found[-1].text if self.found else ""
+                goes_on = target is not None or (last in ("(", ",") and any(o.target or (o.callee and _credential(o.callee)) or (o.key and _credential(o.key)) for o in self.stack))
+                if not (goes_on and self.pull()):
+                    return self.spans
+                continue
+            t = self.found[i]
+            if self.stack and t.text not in (")", "]", "}", ","):
+                own = self.stack[-1]
+                own.count += 1
+                own.first = t if own.count == 1 else own.first
+            if t.kind == STRING:
+                i, target = self.string(i, target), None
+            elif t.kind == COMMENT:
+                self.inner(t)
+                i += 1
+            elif t.kind == NAME:
+                i, target = self.name(i), None
+            elif t.kind == NUMBER:
+                i, target = i + 1, None
+            elif t.text in _ASSIGNS:
+                target = None if asked and t.text == ":" else self.left(i)
+                target = target if target and _credential(target[0]) else None
+                i = self.value(i, target) if target else i + 1
+                if target and self.at(i - 1) is not t:
+                    target = None
+            elif t.text in "([{":
+                before = self.at(i - 1)
+                callee = before.text if t.text == "(" and target is None and before and before.kind == NAME and before.end == t.start else ""
+                self.stack.append(_Open(callee, target if t.text == "(" else None))
+                target, asked, i = target if t.text == "(" else None, False, i + 1
+            elif t.text in _PAIRS:
+                if self.stack:
+                    self.stack.pop()
+                target, asked, i = None, False, i + 1
+            else:
+                if t.text in (",", ";"):
+                    asked = False
+                    if self.stack:
+                        own = self.stack[-1]
+                        own.key, own.count = (own.first.text if own.count == 1 and own.first.kind in (NAME, STRING) else None), 0
+                asked |= t.text == "?"
+                target = target if t.text == "\\" else None
+                i += 1
+
+    def value(self, i: int, target: tuple[str, int]) -> int:
+        """What stands behind an assignment at ``i``: a bare value is read at once, literals and brackets later."""
+        nxt = self.at(i + 1)
+        if nxt is None or nxt.start >= self.end:
+            return i + 1
+        if nxt.text in ("|", ">") and self.found[i].text == ":" and self.text[nxt.end : self.end].strip(" -+0123456789") == "":
+            self.found = self.found[: i + 1]
+            if self.pull() and self.found[i + 1].kind == STRING:
+                return self.string(i + 1, target)
+            if len(self.found) > i + 1:
+                low = self.found[i + 1].start
+                stop = self.text.find("\n", low)
+                m = _BARE.match(self.text, low, len(self.text) if stop < 0 else stop)
+                if m and live(m["val"], 8):
+                    self.spans.append((m.start("val"), m.end("val") - m["val"].endswith("\r")))
+            return len(self.found)
+        if nxt.kind in (STRING, COMMENT) or nxt.text in "([{\\":
+            return i + 1
+        return self.bare(target, i)
+
+    def string(self, i: int, target: tuple[str, int] | None) -> int:
+        t = self.found[i]
+        grouped = bool(self.stack and self.stack[-1].target)
+        name = target[0] if target else self.passed(i)
+        if name is None:
+            self.inner(t)
+            return i + 1
+        parts, k = self.chain(i, grouped)
+        whole = "".join(p.text for p in parts)
+        ok = assigned(whole, name) or (name == "auth" and _basic(whole)) if target else self.fits(whole, name, self.found[i - 1].text == "(")
+        if ok:
+            self.spans += [(p.low, p.high) for p in parts]
+        else:
+            for p in parts:
+                self.inner(p)
+        return k
+
+    def name(self, i: int) -> int:
+        t = self.found[i]
+        if not _credential(t.text):
+            return i + 1
+        before = self.at(i - 1)
+        if before and before.text == "<" and (m := _ELEMENT.match(self.text, t.end, self.end)) and live(m["val"]):
+            self.spans.append(m.span("val"))
+        elif (i == 0 and self.within == COMMENT) or (i == 1 and before.text in ("ENV", "ARG")):
+            if (m := _LAST.match(self.text, t.end, self.end)) and live(m["val"], 8) and not _CODE.match(m["val"]):
+                self.spans.append(m.span("val"))
+        return i + 1
+
+    def inner(self, t: Token) -> None:
+        """The same within a comment or string of the line itself."""
+        at = bisect_left(self.hits, t.low)
+        if at < len(self.hits) and self.hits[at] < t.high:
+            inside = tokens(self.text[t.low : t.high], t.low)[0]
+            if len(inside) > 1:
+                self.spans += _Reader(self.text, inside, t.high, iter(()), self.hits, t.kind).read()
+
+
+def _program_at(text: str, at: int, end: int, options: dict, remark: bool) -> list[tuple[int, int]]:
     """The first value of an option behind the command at ``at``. ``options`` keeps what the line has, read once."""
     spans = []
     for no, (words, through, option) in enumerate(_PROGRAMS):
         word = next((w for w in words if text.startswith(w, at) and not (text[at + len(w) : at + len(w) + 1].isalnum() or text.startswith("_", at + len(w)))), None)
-        if word is None or (len(word) < 3 and at and (text[at - 1].isalnum() or text[at - 1] == "_")):
+        if word is None or (no == _LOGIN and not remark) or (len(word) < 3 and at and (text[at - 1].isalnum() or text[at - 1] == "_")):
             continue
         if no not in options:
-            fit = [m for m in option.finditer(text, at, end) if given(m["val"]) and not _CODE.match(m["val"])]
+            good = (lambda v: live(v, 8) and not _PATH.match(v)) if no == _LOGIN else given
+            fit = [m for m in option.finditer(text, at, end) if good(m["val"]) and not _CODE.match(m["val"])]
             options[no] = ([m.end() for m in through.finditer(text, at, end)] if through else [], [m.start() for m in fit], [m.span("val") for m in fit])
         marks, starts, values = options[no]
         low = at + len(word)
@@ -332,42 +536,59 @@ def _program_at(text: str, at: int, end: int, options: dict) -> list[tuple[int,
     return spans
 
 
-_WORD = re.compile(r"[A-Za-z0-9_$-]*")
-
-
 def find(text: str, diff: bool = True) -> list[tuple[int, int, int]]:
     """(line number from 1, start, end) of the value of each credential, ascending.
 
-    With ``diff`` the first character of a line may be a sign. A private key over
-    several lines has one entry for each line of its body, all with the number of its
-    BEGIN line.
+    With ``diff`` the first character of a line may be a sign. A value over several
+    lines, a private key or joined literals, has one entry for each of its parts, all
+    with the number of its first line.
     """
     low = text.lower()
     if len(low) != len(text):  # some letters change length in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     out: list[tuple[int, int, int]] = []
-    no, begin, stop = 0, 0, -1  # of the current line
-    seen = -1
-    options: dict[int, tuple[list[int], list[int], list[tuple[int, int]]]] = {}
+    lines = Lines(text, diff)
+    no, seen, begin, stop = 0, 0, 0, -1  # of the current line
+    hits: list[tuple[int, tuple[str, ...]]] = []
     for last, (width, kinds) in _automaton().iter(low):
         at = last - width + 1
         if at > stop:
+            if hits:
+                out += _line(text, lines, begin, no, hits)
+                hits = []
             begin = text.rfind("\n", 0, at) + 1
-            no += text.count("\n", max(seen, 0), begin)
+            no += text.count("\n", seen, begin)
             seen = begin
             stop = text.find("\n", at)
             stop = len(text) if stop < 0 else stop
-            options = {}
-        end = stop - 1 if stop > begin and text[stop - 1] == "\r" else stop
-        shift = 1 if diff and end > begin and text[begin] in "+- " and not text.startswith("-----", begin) else 0
-        body = begin + shift
-        spans: list[tuple[int, int]] = []
+        hits.append((at, kinds))
+    if hits:
+        out += _line(text, lines, begin, no, hits)
+    return _merged(out)
+
+
+def _line(text: str, lines: Lines, begin: int, no: int, hits: list[tuple[int, tuple[str, ...]]]) -> list[tuple[int, int, int]]:
+    """Credentials that start from the line at ``begin``, the ``no``-th from 0, with triggers at ``hits``."""
+    body, end, _ = lines.body(begin)
+    out: list[tuple[int, int, int]] = []
+    named = sorted(at for at, kinds in hits if "name" in kinds)
+    if named:
+        more = (lines.tokens(b) for b in lines.following(begin))
+        spans = _Reader(text, lines.tokens(begin), end, more, named).read()
+        spans.sort()
+        first, row = 0, no
+        for a, b in spans:
+            if a > end and (not first or text[first:a].strip("\n\r\t +-\"'`().\\&|")):  # not joined to the part before
+                row = no + text.count("\n", begin, a)
+            out.append((row + 1, a, b))
+            first = b
+    spans, options = [], {}
+    remark = bool(_REMARK_LINE.match(text, body, end))
+    for at, kinds in hits:
+        if at < body:
+            continue
         for kind in kinds:
-            if kind == "name":
-                spans += _named_at(text, at, body, end)
-                if not spans:
-                    out += _continued(text, at, begin, body, end, no, diff)
-            elif kind == "form":
+            if kind == "form":
                 spans += _token_at(text, at, body, end)
             elif kind == "url":
                 m = _URL.match(text, at, end)
@@ -381,52 +602,17 @@ def find(text: str, diff: bool = True) -> list[tuple[int, int, int]]:
                     m = pattern.match(text, at, end)
                     if m and (_basic(m["val"]) if m["kind"].lower() == "basic" else live(m["val"], 12)):
                         spans.append(m.span("val"))
-                if (m := _PASSED.match(text, at, end)) and at > body and text[at - 1] in "\"'" and live(m["val"], 8):
-                    spans.append(m.span("val"))
             elif kind == "program":
-                spans += _program_at(text, at, end, options)
+                spans += _program_at(text, at, end, options, remark)
             elif kind == "command":
                 for _, pattern in _COMMANDS:
                     if (m := pattern.match(text, at, end)) and given(m["val"]) and not _CODE.match(m["val"]):
                         spans.append(m.span("val"))
-            elif _REMARK_LINE.match(text, body, end):
+            elif kind == "remark" and remark:
                 for _, pattern in _REMARKS:
                     if (m := pattern.match(text, at, end)) and live(m["val"], 8) and not _CODE.match(m["val"]) and not _PATH.match(m["val"]):
                         spans.append(m.span("val"))
-        out += [(no + 1, a, b) for a, b in spans]
-    return _merged(out)
-
-
-def _continued(text: str, at: int, begin: int, body: int, end: int, no: int, diff: bool) -> list[tuple[int, int, int]]:
-    """The value on a following line of an assignment that this line leaves open."""
-    m = _OPEN.match(text, at, end)
-    name = text[_name_start(text, at, max(body, at - 120)) : at + len(_WORD.match(text, at, end)[0])]
-    if not m or _ABOUT.search(name):
-        return []
-    nxt = _next_line(text, end, no, text[begin] if body > begin else "")
-    if nxt is None:
-        return []
-    row, low, high = nxt
-    plain = m["how"].rstrip()[-1:] not in ("=", ":", "(")
-    v = (_NEXT_PLAIN if plain else _NEXT_QUOTED).match(text, low, high)
-    if not v or not (live(v["val"], 8) if plain else assigned(v["val"], name)):
-        return []
-    parts = [v.span("val")] if plain else [p[:2] for p in _chain(text, v.start("q"), high)]
-    return [(row + 1, a, b) for a, b in parts]
-
-
-def _next_line(text: str, end: int, no: int, sign: str) -> tuple[int, int, int] | None:
-    """The line after ``end`` that goes on with a line of this sign: (index, start and end of its body)."""
-    for row in range(no + 1, no + 4):
-        begin = text.find("\n", end) + 1
-        if not begin:
-            return None
-        end = text.find("\n", begin)
-        end = len(text) if end < 0 else end
-        if begin >= end or {sign, text[begin]} == {"+", "-"}:
-            continue
-        return row, begin + (1 if sign and text[begin] in "+- " else 0), end - (text[end - 1] == "\r")
-    return None
+    return out + [(no + 1, a, b) for a, b in spans]
 
 
 _ONE_LINE = re.compile(r"(?:(?:\\r)?\\n|\s)+(?P<body>[A-Za-z0-9+/=](?:[A-Za-z0-9+/=]|\\[nr]|\s){14,}?)(?=(?:\\r|\\n|\s)*(?:-----END|[\"'`]|$))")
@@ -499,6 +685,7 @@ def credential_lines(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
     Null and empty texts give no rows; texts of any length are read whole; equal rows
     give equal rows; an empty table none.
     """
+    ship(df.sparkSession)
     (lines,) = fresh(keys, "lines_")
     return df.where(F.col(text).isNotNull()).select(*keys, _found_lines(F.col(text)).alias(lines)).select(*keys, F.explode(lines).alias("line_no"))
 
@@ -506,9 +693,23 @@ def credential_lines(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
 def redact_credentials(df: DataFrame, text: str, into: str | None = None) -> DataFrame:
     """``df`` with the values of credentials in ``text`` replaced by a mask; all else
     stays, so does the number of lines. Null stays null, empty stays empty."""
+    ship(df.sparkSession)
     return df.withColumn(into or text, _redacted(F.col(text)))
 
 
+def kept_outside(text: Column, redacted: Column, mask: str = MASK) -> Column:
+    """Whether the parts of ``redacted`` between masks stand in ``text``, in order, from its start to its end."""
+    parts = F.split(redacted, mask, -1)
+    start = F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"))
+
+    def step(state: Column, part: Column) -> Column:
+        found = F.call_function("locate", part, text, state["at"])
+        return F.struct((found + F.length(part)).cast("int").alias("at"), (state["ok"] & (found > 0)).alias("ok"))
+
+    inner = F.aggregate(parts, start, step)["ok"]
+    return inner & F.startswith(text, F.get(parts, F.lit(0))) & F.endswith(text, F.element_at(parts, -1))
+
+
 def code_texts(files: DataFrame, prompts: DataFrame) -> DataFrame:
     """``item_kind``, ``row_id`` and ``code`` of patches and prompts' diffs."""
     patch = files.select(F.lit("patch").alias("item_kind"), F.col("diff_id").alias("row_id"), F.col("patch").alias("code"))

@@ -69,6 +69,17 @@ def p4_redacted(spark, sf_dir):
     return credentials.redact_credentials(texts, "code")
 
 
+_CODE = """SELECT 'patch' AS item_kind, diff_id AS row_id, patch AS code FROM file_diffs UNION ALL SELECT 'diff_content', prompt_id, diff_content FROM review_prompts"""
+
+
+@REGISTRY.query("p4_checked", f"SELECT item_kind, row_id, len(string_split(code, chr(10))) AS lines, len(code) - len(replace(code, chr(13), '')) AS returns, true AS kept FROM ({_CODE}) WHERE code IS NOT NULL")
+def p4_checked(spark, sf_dir):
+    """Lines and line ends of the redacted texts, and whether all that stands between masks is in the text as it was, in order."""
+    texts = credentials.code_texts(scan(spark, sf_dir, "file_diffs"), scan(spark, sf_dir, "review_prompts")).where("code IS NOT NULL")
+    both = credentials.redact_credentials(texts, "code", "redacted")
+    return both.select("item_kind", "row_id", F.size(F.split("redacted", "\n", -1)).cast("bigint").alias("lines"), (F.length("redacted") - F.length(F.replace("redacted", F.lit("\r"), F.lit("")))).cast("bigint").alias("returns"), credentials.kept_outside(F.col("code"), F.col("redacted")).alias("kept"))
+
+
 def _latency_summaries(spark, sf_dir):
     """Summaries of days, kept, and of all days, with the span they are for."""
     calls = percentiles.call_latencies(scan(spark, sf_dir, "review_results"))

@@ -186,3 +186,64 @@ def test_commands_cost_linear_time():
     for line in ("docker login " * 20_000, "curl " * 40_000 + "-u ", "curl -u " + "=" * 100_000, "curl -u a " * 20_000, "mysql -pAbc123def456 " * 10_000, "# old key " * 20_000):
         find(line)
     assert time.time() - began < 5
+
+
+def values(text):
+    return [text[a:b] for _, a, b in find(text)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'conf.setPassword(user, "VALUE")',
+        'connect(host, password="VALUE")',
+        'connect(\n    host,\n    password="VALUE",\n)',
+        'client.setApiToken(\n  region,\n  "VALUE"\n)',
+        'config["db_password"] = "VALUE"',
+        'val secret: Map<String, String>? = "VALUE"',
+        'char password[] = "VALUE";',
+        'put(PASSWORD, "VALUE")',
+        'send("{\\"password\\": \\"VALUE\\"}")',
+        '// db.password = "VALUE"',
+        "/* password: 'VALUE' */",
+        'doc = """\npassword = "VALUE"\n"""',
+        "<password>VALUE</password>",
+        "ENV DB_PASSWORD VALUE",
+        "password: >-\n  VALUE",
+        "@@ -1 +1 @@\n+password =\n-  a\n-  b\n-  c\n-  d\n-  e\n+  'VALUE'",
+        "docker login " + "--option value " * 40 + "-p VALUE registry",
+        "# login on " + "a very long way round " * 20 + "with admin / VALUE",
+        "x = '" + "y" * 3000 + "?password=VALUE&z'",
+    ],
+)
+def test_literals_given_in_many_ways(text):
+    assert values(text.replace("VALUE", "abc9DEF8ghi7")) == ["abc9DEF8ghi7"]
+
+
+@pytest.mark.parametrize("value", ["correcthorsebatterystaple", "correct-horse-battery-staple", "84736251", "k" * 2500 + "9Z" * 1500])
+def test_chosen_values_of_any_kind_and_length(value):
+    assert values(f'password = "{value}"') == [value]
+
+
+@pytest.mark.parametrize("text", ['if password == "abc9DEF8ghi7":', 'x = password ? "abc9DEF8ghi7" : other', 'log("password", name)', "password = None", 'getPassword("abc9DEF8ghi7")', 'label(password) + "abc9DEF8ghi7"', 'tokens.split("abc9DEF8ghi7")'])
+def test_literals_not_given(text):
+    assert values(text) == []
+
+
+def test_joined_literals_count_once_and_are_all_redacted():
+    text = 'password = (\n    "abc9DEF8"\n    "ghi7JKL6"\n)\napi_key = "abc9DEF8" +\n  "ghi7jkl6mno5"\n'
+    found = find(text, diff=False)
+    assert {n for n, _, _ in found} == {2, 5}
+    assert redact(text, found) == f'password = (\n    "{MASK}"\n    "{MASK}"\n)\napi_key = "{MASK}" +\n  "{MASK}"\n'
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    part = 'a.password=b("x",token);c=`y`;/*d*/e={"secret":f};'
+    times = []
+    for n in (2_000, 16_000):
+        began = time.perf_counter()
+        find("+" + part * n)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 20 * times[0]
