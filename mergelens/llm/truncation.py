@@ -14,6 +14,7 @@ the same beginning stand there instead. Together with open quotes, brackets and
 fences, cut marks and final punctuation this gives an ending class, and expectation
 maximisation over counts of (source, limit, class) adjusts the priors of the limits and
 sources and, held near their start values, the chances of each class at either end.
+(Learned from lengths alone they drift: most cuts stand at no limit.)
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mergelens.session import cut_lineage
+from mergelens.functions.text import let
+from mergelens.session import cut_lineage, ship
 
-#: A limit has this many different texts at least, and so many times those of a length nearby.
-LEAST_AT_LIMIT, TIMES_NEARBY, NEARBY = 12, 6, 12
-#: Longest prefix of a word that is looked up as a fragment.
-FRAGMENT = 14
+#: A length is a candidate limit if so many times the different texts of a length nearby end there, and if that is
+#: no accident: the log likelihood ratio of a spike there beats the log of the number of lengths by so much.
+TIMES_NEARBY, NEARBY, EVIDENCE = 6, 12, 5.0
 THRESHOLD = 0.5
 
 #: Ending classes with the chance of each at a cut end and at a whole one, as a start for the fit.
@@ -46,8 +47,11 @@ ENDINGS = {
     "closed": (0.016, 0.528),
 }
 
-_MARK = r"(…|\[\s*(\.\.\.|…)\s*\]|[\[(<]\s*(truncated|cut off|cut|snip(ped)?|gekürzt|tronqué|cortado)\s*[\])>])\s*$"
-_CLOSED = r"(?U)([.!?。！？][\"'”’»)\]}*_`]*|```|~~~|[\]}]|\p{So}\x{FE0F}?|[:;]-?\))\s*$"
+#: Ends of texts, read backwards, from the last sign that isn't white space.
+_MARKS = ("truncated", "cut off", "cut", "snip", "snipped", "gekürzt", "tronqué", "cortado")
+_MARK = r"^\s*+(…|\]\s*+(\.\.\.|…)\s*+\[|[\])>]\s*+(" + "|".join(m[::-1] for m in _MARKS) + r")\s*+[\[(<])"
+_CLOSED = r"(?U)^\s*+([\"'”’»)\]}*_`]*+[.!?。！？]|```|~~~|[\]}]|\x{FE0F}?\p{So}|\)-?[:;])"
+_DOTS = r"^\s*+\.\.\."
 _LINE = "¶"
 
 
@@ -86,44 +90,49 @@ def word_pairs(texts: DataFrame) -> DataFrame:
     return _words(texts).groupBy("prev", "word").agg(F.count(F.lit(1)).alias("n"), F.count_if("last").alias("n_last"))
 
 
-#: Ends are read in the last so many code points; a longer last word counts by its end.
-TAIL = 400
+_END = r"^\s*+(\S++)(\s*+)(\S*+)"
 
 
-def last_words(text: Column) -> tuple[Column, Column]:
-    """The last word and its predecessor (or the line start)."""
-    tail = F.filter(F.split(normal(F.right(text, F.lit(TAIL))), " "), lambda w: w != "")
-    return F.coalesce(F.try_element_at(tail, F.lit(-1)), F.lit("")), F.coalesce(F.try_element_at(tail, F.lit(-2)), F.lit(_LINE))
+def last_words(back: Column) -> tuple[Column, Column]:
+    """The last word and its predecessor (or the line start) of a text that is given backwards."""
+    part = lambda i: normal(F.reverse(F.regexp_extract(back, _END, i)))
+    return part(1), F.when(F.regexp_extract(back, _END, 2).rlike(r"[\r\n]") | (part(3) == ""), F.lit(_LINE)).otherwise(part(3))
 
 
-def shape(text: Column) -> Column:
+def shape(text: Column, back: Column) -> Column:
     """The ending class that the text shows by itself, or null where its last words must be looked up."""
-    end = F.right(text, F.lit(TAIL))
     return (
-        F.when(F.coalesce(text, F.lit("")).rlike(r"^(?U)\s*$"), "blank")
-        .when(end.rlike(_MARK), "mark")
+        F.when(F.coalesce(text, F.lit("")).rlike(r"^(?U)\s*+$"), "blank")
+        .when(back.rlike(_MARK), "mark")
         .when(open_structure(text), "open")
-        .when(end.rlike(r"\.\.\.\s*$"), "dots")
-        .when(end.rlike(_CLOSED), "closed")
+        .when(back.rlike(_DOTS), "dots")
+        .when(back.rlike(_CLOSED), "closed")
     )
 
 
 def compact(texts: DataFrame) -> DataFrame:
     """What is kept of each text, by ``field`` and ``row_id``: no more than its last two words."""
     text = F.col("text")
-    last, prev = last_words(text)
-    facts = F.struct("source", F.length(text).cast("bigint").alias("length"), F.xxhash64(text).alias("h"), shape(text).alias("shape"), last.alias("end_word"), prev.alias("end_prev"))
-    return texts.where("row_id IS NOT NULL").groupBy("field", "row_id").agg(F.min(facts).alias("f")).select("field", "row_id", "f.*")
+
+    def facts(back: Column) -> Column:
+        last, prev = last_words(back)
+        return F.struct("source", F.length(text).cast("bigint").alias("length"), F.xxhash64(text).alias("h"), shape(text, back).alias("shape"), last.alias("end_word"), prev.alias("end_prev"))
+
+    return texts.where("row_id IS NOT NULL").groupBy("field", "row_id").agg(F.min(let(F.reverse(text), facts)).alias("f")).select("field", "row_id", "f.*")
 
 
 def endings(facts: DataFrame, texts: DataFrame) -> DataFrame:
-    """``facts`` with ``ending``, a class of ``ENDINGS`` or ``blank``; pairs of words are counted over all ``texts``."""
+    """``facts`` with ``ending``, a class of ``ENDINGS`` or ``blank``; pairs of words are counted over all ``texts``.
+
+    Longer words are looked up at just the lengths that the asked words behind the same word have."""
     pairs = cut_lineage(word_pairs(texts))
+    open_ = facts.where("shape IS NULL")
+    asked = cut_lineage(open_.select("end_prev", "end_word").distinct())
     words = pairs.groupBy("word").agg(F.sum("n").alias("w_n"), F.sum("n_last").alias("w_last"))
-    asked = facts.where("shape IS NULL").select("end_prev", "end_word").distinct()
+    lengths = asked.groupBy(F.col("end_prev").alias("prev")).agg(F.collect_set(F.length("end_word")).alias("lengths"))  # as many as words have lengths
     longer = (
-        pairs.where(F.length("word") > 1)
-        .select("prev", "n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(FRAGMENT))), lambda k: F.left(F.col("word"), k))).alias("head"))
+        pairs.join(lengths, "prev")
+        .select("prev", "n", F.explode(F.transform(F.filter("lengths", lambda k: k < F.length("word")), lambda k: F.left(F.col("word"), k))).alias("head"))
         .groupBy("prev", "head")
         .agg(F.sum("n").alias("longer_n"))
     )
@@ -137,7 +146,9 @@ def endings(facts: DataFrame, texts: DataFrame) -> DataFrame:
     fragment = (F.coalesce(F.col("longer_n"), F.lit(0)) >= 3 * F.col("n")) & (F.col("n_last") >= 0.5 * F.col("n"))
     kind = F.when(fragment, "fragment").when(ratio < 0.35, "middle").when((ratio > 0.75) & (F.col("n") >= 2), "line").otherwise("unsure")
     kinds = known.select("end_prev", "end_word", kind.alias("by_words"))
-    return facts.join(kinds, ["end_prev", "end_word"], "left").withColumn("ending", F.coalesce("shape", "by_words", F.lit("unsure"))).drop("end_prev", "end_word", "by_words", "shape")
+    looked_up = open_.join(kinds, ["end_prev", "end_word"], "left").withColumn("ending", F.coalesce("by_words", F.lit("unsure")))
+    decided = facts.where("shape IS NOT NULL").withColumn("ending", F.col("shape"))
+    return decided.drop("end_prev", "end_word", "shape").unionByName(looked_up.drop("end_prev", "end_word", "by_words", "shape"))
 
 
 def _phi(x: float) -> float:
@@ -203,7 +214,11 @@ def censoring_limits(facts: DataFrame) -> DataFrame:
     others = F.slice(F.array_sort(F.collect_list("n").over(around)), 1, 2 * NEARBY + 1)
     calm = F.slice(others, 1, F.greatest(F.size(others) - 3, F.lit(0)))
     mean = F.aggregate(calm, F.lit(0).cast("bigint"), lambda a, b: a + b) / (2 * NEARBY + 1)
-    spiked = histogram.withColumn("nearby", mean).withColumn("spike", (F.col("n") >= LEAST_AT_LIMIT) & (F.col("n") >= TIMES_NEARBY * F.greatest("nearby", F.lit(0.5))))
+    # a likelihood weighs how many texts are enough: few will do where hardly any end nearby
+    calm_rate = F.greatest("nearby", F.lit(1 / (2 * NEARBY + 1)))
+    gain = F.col("n") * F.ln(F.col("n") / calm_rate) - (F.col("n") - calm_rate)
+    lengths_of = F.count(F.lit(1)).over(Window.partitionBy("field", "source"))
+    spiked = histogram.withColumn("nearby", mean).withColumn("spike", (F.col("n") >= TIMES_NEARBY * calm_rate) & (gain > F.ln(lengths_of) + EVIDENCE))
     return spiked.groupBy("field", "source").applyInPandas(_fit, _LIMITS)
 
 
@@ -248,6 +263,7 @@ def detect_truncation(texts: DataFrame) -> DataFrame:
     rows of one id the least by source, length and text counts. An empty table gives
     no rows.
     """
+    ship(texts.sparkSession)
     base = texts.select("field", "row_id", F.coalesce("source", F.lit("")).alias("source"), "text")
     facts = cut_lineage(compact(base))
     limits = cut_lineage(censoring_limits(facts))

@@ -73,3 +73,30 @@ def test_very_long_strings_and_escapes(spark):
     rows = [("content", "1", "a", '[{"body": "' + "x" * 300_000 + '"}]'), ("content", "2", "a", '[{"body": "' + "\\n" * 200_000 + '"}]'), ("content", "3", "a", '[{"body": "' + '\\"' * 200_000)]
     df = spark.createDataFrame(rows, "field string, row_id string, source string, text string")
     assert {r.row_id: r.truncated for r in X.detect_truncation(df).collect()} == {"1": False, "2": False, "3": True}
+
+
+def test_ends_are_read_whole(spark):
+    rows = [("a b" + " " * 2000, "b", "a"), ("one " + "x" * 3000, "x" * 3000, "one"), ("one\r\n two\n\n", "two", "¶"), ("Only", "only", "¶"), ("n 12 34", "0", "0"), ("", "", "¶"), (" \n ", "", "¶"), ("é 🚀x", "🚀x", "é")]
+    df = spark.createDataFrame(rows, "text string, last string, prev string")
+    last, prev = X.last_words(F.reverse("text"))
+    assert [tuple(r) for r in df.select(last, prev).collect()] == [(r[1], r[2]) for r in rows]
+    ends = [("done." + " " * 900, "closed"), ("done" + ")" * 500, None), ("done." + ")" * 500 + " ", "closed"), ("more [ … ]  ", "mark"), ("more (cut off)\n", "mark"), ("well...\n" + " " * 500, "dots"), ("ok :-)", "closed"), ("fine ✅️", "closed"), ("and then", None)]
+    df = spark.createDataFrame([(t, k) for t, k in ends], "text string, kind string")
+    assert [tuple(r) for r in df.select("kind", X.shape(F.col("text"), F.reverse("text"))).collect() if r[0] != r[1]] == []
+
+
+def test_fragments_of_any_length(spark):
+    rng = random.Random(7)
+    whole = [f"The {rng.choice(WORDS)} job waits for the internationalizationbureau of the {rng.choice(WORDS)} team." for _ in range(400)]
+    rows = [("pr_body", str(i), "hook", t) for i, t in enumerate(whole)]
+    rows += [("pr_body", f"cut{k}", "hook", "The cart job waits for the " + "internationalizationbureau"[:k]) for k in (8, 12, 14, 15, 16, 18, 22)]
+    got = {r.row_id: r for r in X.detect_truncation(spark.createDataFrame(rows, "field string, row_id string, source string, text string")).collect()}
+    assert all(got[f"cut{k}"].ending == "fragment" and got[f"cut{k}"].truncated for k in (8, 12, 14, 15, 16, 18, 22))
+
+
+def test_a_likelihood_says_how_many_texts_make_a_limit(spark):
+    """Eight texts of one length where hardly any end nearby are a limit; a spike in a crowd isn't."""
+    rows = [("f", str(i), "a", 100 + 7 * i, i) for i in range(60)] + [("f", f"s{i}", "a", 750, 1000 + i) for i in range(8)]
+    rows += [("f", f"b{i}", "b", 100 + i % 40, i) for i in range(800)] + [("f", f"c{i}", "b", 120, 5000 + i) for i in range(20)]
+    facts = spark.createDataFrame(rows, "field string, row_id string, source string, length bigint, h bigint")
+    assert {(r.source, r.length) for r in X.censoring_limits(facts).collect()} == {("a", 750)}
