@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mergelens.session import fresh
+from mergelens.session import fresh, ship
 
 #: Names of lock files, compared in lower case.
 LOCK_FILES = (
@@ -113,6 +113,18 @@ NOTICES = (
     "gerado automaticamente",
 )
 
+#: Phrases of them that speak of anything, unless the file is their subject.
+OF_ANYTHING = frozenset(("generated by", "generated from", "generated using", "generated with", "erzeugt mit", "generiert von", "généré par", "générée par", "généré avec", "generado por", "generado con", "gerado por", "machine made"))
+#: Words that may stand before such a phrase in its clause when the file is the subject, lower case.
+SUBJECTS = frozenset(
+    "this these the a an it all file files code source sources class classes module modules document script output content contents header bindings stub stubs client types test tests "
+    "is was were are been being has have had auto automatically machine partially fully originally please note notice warning attention caution do not edit modify manually by hand and or "
+    "diese dieser dieses die der das datei quelltext code ist wurde wird automatisch maschinell "
+    "ce cette ces le la les fichier source est a été automatiquement este esta estos el los archivo código fuente fue es ha sido está automáticamente o arquivo foi é automaticamente".split()
+)
+_CLAUSE = re.compile(r"[.!?;:|–—(\[]+(?:\s|$)")
+_WORD = re.compile(r"[^\W\d_]+")
+
 #: Phrases that mark a copy of another project's file, lower case.
 COPIES = ("@preserve", "@license", "copied unchanged", "copied verbatim", "vendored from", "imported from upstream", "do not patch, upstream", "/*!", "/**")
 
@@ -222,11 +234,17 @@ def _header(lines: list[str], path: str = "") -> Iterator[str]:
                 leading = False
 
 
+def _of_file(before: str) -> bool:
+    """Whether the clause that ends with ``before`` can have the file as its subject."""
+    return all(w in SUBJECTS for w in _WORD.findall(_CLAUSE.split(before)[-1]))
+
+
 def notice_class(lines: list[str], path: str = "") -> str | None:
     """Class by the notices in comments of the file's head, or null."""
     auto = _automaton()
     for line in _header(lines, path):
-        hits = [v for _, v in auto.iter(line.lower())]
+        low = line.lower()
+        hits = [v for at, v in auto.iter(low) if v[1] not in OF_ANYTHING or _of_file(low[: at + 1 - len(v[1])])]
         if any(kind == "veto" for kind, _ in hits):
             continue
         if any(kind == "generated" for kind, _ in hits):
@@ -298,6 +316,7 @@ def classify_files(df: DataFrame, path: str = "file_path", patch: str = "patch",
     same class; an empty table stays empty; a column named ``into`` is replaced.
     Texts of any length are read whole.
     """
+    ship(df.sparkSession)
     by_path, rest = fresh(df.columns, "by_path", "by_content")
     kinds = df.withColumn(by_path, path_class(F.col(path)))
     undecided = F.when(F.col(by_path).isNull(), F.col(patch))

@@ -126,3 +126,13 @@ def test_long_lines_of_data_cost_linear_time():
     for line in ("'" + "a" * 200_000, "'a" * 100_000, "1,2,3,a," * 50_000, "1" * 200_000 + "," * 20, "\\x1f" * 50_000):
         content_class("a.ts", f"@@ -0,0 +1 @@\n+x = {line}")
     assert time.time() - began < 5
+
+
+@pytest.mark.parametrize("head", ["// Tokens generated by the auth service are cached here", "# Ids generated from the clock", "// Reads reports généré par the old job", "// Checks what was generated by hand-rolled code"])
+def test_phrases_about_other_things(head):
+    assert content_class("a.kt", f"@@ -0,0 +1,3 @@\n+{head}\n+fun a() = 1\n+fun b() = 2") is None
+
+
+@pytest.mark.parametrize("head", ["// x.pb.go. Generated by protoc", "// Warning: this file was generated from a.proto", "# Diese Datei wurde generiert von xgen", "/* Ce fichier a été généré par xgen */", "-- generated with xgen 2.1", "// AUTO-GENERATED tokens"])
+def test_phrases_about_the_file(head):
+    assert content_class("a.kt", f"@@ -0,0 +1,3 @@\n+{head}\n+fun a() = 1\n+fun b() = 2") == "generated"
