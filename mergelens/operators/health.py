@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Settings of the breaker.
@@ -128,6 +128,37 @@ def start_provider(preference: Column, default: str) -> Column:
     return F.coalesce(F.nullif(preference, F.lit("auto")), F.lit(default))
 
 
+#: Providers that the settings table may have; it is read by the driver.
+MOST_PROVIDERS = 10_000
+
+
+def available(providers: DataFrame) -> DataFrame:
+    """Names of the providers that can be called: enabled ones, each once."""
+    return providers.where("enabled").select("name").distinct()
+
+
+def noted(name: Column, through: Column) -> Column:
+    """A provider's name with a note for each provider that fell back to it, the last first."""
+    return F.concat(name, F.array_join(F.transform(through, lambda p: F.concat(F.lit(" (fallback from "), p, F.lit(")"))), ""))
+
+
+def fallback_chains(spark: SparkSession, providers: DataFrame) -> DataFrame:
+    """``start``, ``step`` from 0, ``name``, ``usable`` and ``through`` (the names before, last first) of each provider's
+    chain, to its end, a disabled or unknown provider, or a repeat."""
+    rows = providers.select("name", "enabled", "fallback_to").limit(MOST_PROVIDERS + 1).collect()  # a settings table
+    if len(rows) > MOST_PROVIDERS:
+        raise ValueError(f"more than {MOST_PROVIDERS} providers")
+    config = {r.name: r for r in rows}
+    chains = []
+    for start in config:
+        at, path = start, []
+        while at is not None and at not in path:
+            path.append(at)
+            at = config[at].fallback_to if at in config and config[at].enabled else None
+        chains += [(start, i, name, bool(name in config and config[name].enabled), path[:i][::-1]) for i, name in enumerate(path)]
+    return spark.createDataFrame(chains, "start string, step int, name string, usable boolean, through array<string>")
+
+
 def resolve_fallback(requests: DataFrame, providers: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Which provider answers each request, by following fallbacks until one succeeds.
 
@@ -139,20 +170,9 @@ def resolve_fallback(requests: DataFrame, providers: DataFrame, outcomes: DataFr
 
     Chains depend on the start alone, so they are unrolled once over the table of
     providers and joined to the requests, one shuffle whatever the length."""
-    spark = requests.sparkSession
-    rows = providers.select("name", "enabled", "fallback_to").collect()  # a settings table
-    config = {r.name: r for r in rows}
-    chains = []
-    for start in config:
-        at, path = start, []
-        while at is not None and at not in path:
-            path.append(at)
-            at = config[at].fallback_to if at in config and config[at].enabled else None
-        chains += [(start, i, name, bool(name in config and config[name].enabled), path[:i][::-1]) for i, name in enumerate(path)]
-    chain = spark.createDataFrame(chains, "start string, step int, name string, usable boolean, through array<string>")
+    chain = fallback_chains(requests.sparkSession, providers)
     tried = requests.join(chain, "start").join(outcomes.select("request_id", "name", "ok"), ["request_id", "name"], "left")
     good = F.col("usable") & F.coalesce("ok", F.lit(True))
-    noted = F.concat(F.col("name"), F.array_join(F.transform("through", lambda p: F.concat(F.lit(" (fallback from "), p, F.lit(")"))), ""))
-    first = tried.groupBy("request_id").agg(F.min_by(F.when(good, F.struct("name", noted.alias("provider"))), F.when(good, F.col("step"))).alias("a"))
+    first = tried.groupBy("request_id").agg(F.min_by(F.when(good, F.struct("name", noted(F.col("name"), F.col("through")).alias("provider"))), F.when(good, F.col("step"))).alias("a"))
     joined = requests.select("request_id").join(first, "request_id", "left")
     return joined.select("request_id", F.col("a.name").alias("answered_by"), F.col("a.provider").alias("provider"), F.when(F.col("a").isNotNull(), "OK").otherwise("FAILED").alias("outcome"))

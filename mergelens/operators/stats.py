@@ -55,13 +55,14 @@ def by_category(requests: DataFrame) -> DataFrame:
     return reviews(requests).select(F.explode("comments").alias("c")).groupBy(F.col("c.category").alias("category")).agg(F.count(F.lit(1)).alias("comments"))
 
 
-def statistics(requests: DataFrame) -> DataFrame:
+def statistics(requests: DataFrame, comments: DataFrame | None = None) -> DataFrame:
     """The statistics row: totals, mean latency, and counts by provider and category as maps.
 
-    Null providers aren't keys of the map. The maps have an entry per provider and category."""
+    ``comments`` (``category``), those of completed requests, are taken from the reviews unless given. Null providers aren't keys of the map. The maps have an entry per provider and category."""
     as_map = lambda df, k, v, name: df.where(F.col(k).isNotNull()).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)))).alias(name)).withColumn("one", F.lit(1))
     providers = as_map(by_provider(requests), "provider", "reviews", "reviews_by_provider")
-    categories = as_map(by_category(requests), "category", "comments", "issues_by_category")
+    found = by_category(requests) if comments is None else comments.groupBy("category").agg(F.count(F.lit(1)).alias("comments"))
+    categories = as_map(found, "category", "comments", "issues_by_category")
     return overview(requests).withColumn("one", F.lit(1)).join(providers, "one").join(categories, "one").drop("one")
 
 

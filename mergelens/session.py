@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import SparkFiles
@@ -61,6 +63,17 @@ def fresh(columns, *names: str) -> list[str]:
     return out
 
 
+@contextmanager
+def scratch(path: str) -> Iterator[str]:
+    """A folder of any file system that Spark reaches, removed at the end."""
+    try:
+        yield path
+    finally:
+        spark = SparkSession.active()
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _SHIPPED: set[str] = set()
 
 
