@@ -19,11 +19,14 @@ def drop_reason(secret: str | None, active: Column, review_on_draft: Column) ->
     """The first gate that an event with ``body``, ``event_type``, ``signature`` and parsed ``e`` fails, or null.
 
     The order is that of the gates: signature, event type, parse, action, completeness,
-    sender, repository, draft. ``secret`` None leaves the signature gate out."""
+    sender, repository, draft. ``secret`` None leaves the signature gate out; a blank one is
+    an error, since it would let every event in."""
+    if secret is not None and not secret.strip():
+        raise ValueError("a secret is required; None leaves the signature gate out")
     e = F.col("e")
     gate = F.lit(None).cast("string")
     chain = [
-        (~S.verified(F.col("body"), F.col("signature"), secret) if secret is not None else F.lit(False), "bad signature"),
+        (~S.verified(F.col("body"), F.col("signature"), secret, require_secret=True) if secret is not None else F.lit(False), "bad signature"),
         (~F.col("event_type").eqNullSafe(F.lit("pull_request")), "other event"),
         (e.isNull() | e["action"].isNull(), "malformed"),
         (~e["action"].isin(*ACTIONS), "other action"),
@@ -48,10 +51,11 @@ def judge_events(events: DataFrame, repositories: DataFrame, secret: str | None
     return joined.withColumn("reason", drop_reason(secret, F.col("repo.repo_active"), F.col("repo.repo_draft"))).withColumn("repository_id", F.col("repo.repo_id")).drop("repo", "repo_name")
 
 
-def accepted_requests(judged: DataFrame, now: Column) -> DataFrame:
-    """New requests of the events that no gate stopped."""
+def accepted_requests(judged: DataFrame, now: Column, keys: list[str] | None = None) -> DataFrame:
+    """New requests of the events that no gate stopped, with ``keys`` of the event in front."""
     e = F.col("e")
     return judged.where(F.col("reason").isNull()).select(
+        *(keys or []),
         "repository_id",
         e["repository"]["full_name"].alias("repository_full_name"),
         e["pull_request"]["number"].alias("platform_pr_id"),

@@ -60,10 +60,11 @@ def results(requests: DataFrame, answered: DataFrame) -> DataFrame:
     parsed = answered.select("id", F.struct("chunk", "provider", "model", "input_tokens", "output_tokens", latency.alias("latency_ms"), F.col("content").isNotNull().alias("answered"), replies.comments(F.col("content")).alias("comments")).alias("r"))
     grouped = parsed.groupBy(F.col("id").alias("answered_id")).agg(F.array_sort(F.collect_list("r")).alias("rs"))  # a request's files, at most max_files
     r, last = F.col("rs"), F.element_at("rs", -1)
-    joined = requests.join(grouped, F.col("id") == F.col("answered_id"), "left")
+    # bound as columns of their own: what follows refers to them many times
+    joined = requests.join(grouped, F.col("id") == F.col("answered_id"), "left").withColumn("found", F.flatten(F.transform("rs", lambda x: x["comments"])))
     failed = F.exists(r, lambda x: ~x["answered"])
     total = lambda k, zero=F.lit(0): F.aggregate(r, zero, lambda a, x: a + F.coalesce(x[k], F.lit(0)))
-    comments = F.flatten(F.transform(r, lambda x: x["comments"]))
+    comments = F.col("found")
     review = F.struct(
         last["provider"].alias("provider"),
         last["model"].alias("model"),

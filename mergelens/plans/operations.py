@@ -11,7 +11,7 @@ from mergelens.functions import text as X
 from mergelens.operators import health, ingest, metrics
 from mergelens.plans.registry import Registry
 from mergelens.plans.reviews import REQUESTS, RESULTS, requests, results
-from mergelens.session import checkpoint_dir
+from mergelens.session import checkpoint_dir, cut_lineage, scratch
 from mergelens.sources.tables import scan
 from mergelens.streaming import intake, status
 
@@ -69,6 +69,23 @@ def webhook_accepted(spark, sf_dir):
     return ingest.accepted_requests(judged, F.col("received_at")).select("repository_id", "repository_full_name", "platform_pr_id", "head_sha", "status", "created_at")
 
 
+@REGISTRY.query(
+    "webhook_requests",
+    f"""WITH {_JUDGED}, damaged AS (SELECT judged.*, req.title, req.author, req.base_branch, req.head_branch, CASE WHEN n % 23 = 0 AND reason IS DISTINCT FROM 'bad signature' AND reason IS DISTINCT FROM 'other event' THEN 'malformed' ELSE reason END AS why FROM judged JOIN req ON req.id = judged.id)
+SELECT n AS event_id, why AS reason, CASE WHEN why IS NULL THEN repository_id END AS repository_id, CASE WHEN why IS NULL THEN repository_full_name END AS repository_full_name, CASE WHEN why IS NULL THEN platform_pr_id END AS platform_pr_id, CASE WHEN why IS NULL THEN title END AS title,
+  CASE WHEN why IS NULL THEN author END AS author, CASE WHEN why IS NULL THEN head_sha END AS head_sha, CASE WHEN why IS NULL THEN base_branch END AS base_branch, CASE WHEN why IS NULL THEN head_branch END AS head_branch, CASE WHEN why IS NULL THEN 'PENDING' END AS status, CASE WHEN why IS NULL THEN created_at END AS created_at FROM damaged""",
+)
+def webhook_requests(spark, sf_dir):
+    """All ten fields of new requests beside the reasons of the others; every twenty-third body is cut off, and signed as it is."""
+    sound = events(spark, sf_dir)
+    cut = F.when(F.col("event_id") % 23 == 0, F.left("body", F.lit(20))).otherwise(F.col("body"))
+    good = F.concat(F.lit(signature.PREFIX), signature.hmac_sha256(cut, SECRET))
+    landed = sound.withColumn("signature", F.when((F.col("event_id") % 23 == 0) & (F.col("event_id") % 11 != 0), good).otherwise(F.col("signature"))).withColumn("body", cut)
+    judged = ingest.judge_events(landed, scan(spark, sf_dir, "repositories"), SECRET)
+    new = ingest.accepted_requests(judged.withColumn("created", F.col("received_at")), F.col("created"), ["event_id"])
+    return judged.select("event_id", "reason").join(new, "event_id", "left")
+
+
 @REGISTRY.query("webhook_drop_reasons", f"WITH {_JUDGED} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS events FROM judged GROUP BY 1")
 def webhook_drop_reasons(spark, sf_dir):
     judged = ingest.judge_events(events(spark, sf_dir), scan(spark, sf_dir, "repositories"), SECRET)
@@ -83,10 +100,11 @@ def webhook_signature(spark, sf_dir):
 @REGISTRY.query("stream_webhook_counts", f"WITH {_JUDGED} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS events FROM judged GROUP BY 1")
 def stream_webhook_counts(spark, sf_dir):
     """The events landed as JSON files and taken in as a stream."""
-    base = f"{checkpoint_dir(spark)}/intake-{uuid.uuid4().hex}"
-    events(spark, sf_dir).write.json(f"{base}/landed")
-    intake.run(spark, f"{base}/landed", scan(spark, sf_dir, "repositories"), f"{base}/out", f"{base}/state", SECRET, files_per_trigger=4)
-    return spark.read.parquet(f"{base}/out").groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("events"))
+    with scratch(f"{checkpoint_dir(spark)}/intake-{uuid.uuid4().hex}") as base:
+        events(spark, sf_dir).write.json(f"{base}/landed")
+        intake.run(spark, f"{base}/landed", scan(spark, sf_dir, "repositories"), f"{base}/out", f"{base}/state", SECRET, files_per_trigger=4)
+        counts = spark.read.parquet(f"{base}/out").groupBy(F.coalesce("reason", F.lit("accepted")).alias("reason")).agg(F.count(F.lit(1)).alias("events"))
+        return cut_lineage(counts)
 
 
 def calls(spark, sf_dir):
@@ -116,7 +134,23 @@ def breaker_rates(spark, sf_dir):
     return rates.select("provider", "call_id", "window_calls", "failure_rate", "slow_rate", "over_threshold")
 
 
-@REGISTRY.query("breaker_states")
+#: The breaker as a walk over the calls in order, one step of all providers at a time.
+_STATES = f"""WITH RECURSIVE {_CALLS}, ordered AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY at_ms, call_id) AS rn FROM calls WHERE at_ms IS NOT NULL),
+walk(provider, rn, at_ms, call_id, permitted, state, since, win) AS (
+  SELECT DISTINCT provider, 0::BIGINT, 0::BIGINT, NULL::BIGINT, true, 'CLOSED', 0::BIGINT, []::STRUCT(f BOOLEAN, s BOOLEAN)[] FROM ordered
+  UNION ALL
+  SELECT provider, rn, at_ms, call_id, permitted, CASE WHEN trips THEN 'OPEN' WHEN closes THEN 'CLOSED' ELSE st END, CASE WHEN trips OR closes THEN at_ms ELSE since END, CASE WHEN trips OR closes THEN [] ELSE win END
+  FROM (
+    SELECT *, permitted AND full_ AND bad AS trips, permitted AND full_ AND NOT bad AND st = 'HALF_OPEN' AS closes FROM (
+      SELECT *, len(win) >= CASE WHEN st = 'HALF_OPEN' THEN 5 ELSE 10 END AS full_, len(list_filter(win, lambda x: x.f)) >= 0.5 * len(win) OR len(list_filter(win, lambda x: x.s)) >= 0.8 * len(win) AS bad FROM (
+        SELECT provider, rn, at_ms, call_id, st, st <> 'OPEN' AS permitted, since, CASE WHEN st = 'OPEN' THEN win ELSE list_slice(list_append(win, {{'f': failed, 's': slow}}), -20, -1) END AS win FROM (
+          SELECT o.provider, o.rn, o.at_ms, o.call_id, o.failed, o.slow, CASE WHEN again THEN 'HALF_OPEN' ELSE w.state END AS st, CASE WHEN again THEN o.at_ms ELSE w.since END AS since, CASE WHEN again THEN [] ELSE w.win END AS win
+          FROM (SELECT w.*, o.at_ms AS next_at, w.state = 'OPEN' AND o.at_ms - w.since >= 60000 AS again FROM walk w JOIN ordered o ON o.provider = w.provider AND o.rn = w.rn + 1) w JOIN ordered o ON o.provider = w.provider AND o.rn = w.rn + 1)))))
+"""
+_LAST = f"{_STATES}, last AS (SELECT provider, arg_max(state, rn) AS state FROM walk WHERE rn > 0 GROUP BY 1)"
+
+
+@REGISTRY.query("breaker_states", f"{_STATES} SELECT provider, call_id, permitted, state FROM walk WHERE rn > 0")
 def breaker_states(spark, sf_dir):
     return health.breaker_states(calls(spark, sf_dir))
 
@@ -132,7 +166,7 @@ def provider_health(spark, sf_dir):
     return health.provider_health(_providers(spark), states)
 
 
-@REGISTRY.query("provider_health_measured")
+@REGISTRY.query("provider_health_measured", f"{_LAST} SELECT name, enabled, coalesce(state, 'UNKNOWN') AS circuit_breaker_state, model FROM (VALUES ('claude', true, 'model-c'), ('openai', true, 'model-o'), ('gemini', false, 'model-g'), ('inhouse', true, 'model-i')) t(name, enabled, model) LEFT JOIN last ON provider = name")
 def provider_health_measured(spark, sf_dir):
     """With the breakers' states after all calls."""
     return health.provider_health(_providers(spark), health.last_states(calls(spark, sf_dir)))
@@ -154,6 +188,24 @@ def provider_fallback(spark, sf_dir):
     return health.resolve_fallback(r.select("request_id", "start"), _providers(spark), outcomes)
 
 
+@REGISTRY.query("available_providers", "SELECT * FROM (VALUES ('claude'), ('openai'), ('inhouse')) t(name)")
+def available_providers(spark, sf_dir):
+    return health.available(_providers(spark))
+
+
+@REGISTRY.query(
+    "provider_fallback_long",
+    f"""WITH s AS (SELECT id AS request_id, {_N} % 13 AS k FROM repositories)
+SELECT request_id, CASE WHEN k < 12 THEN 'm' || k END AS answered_by, CASE WHEN k < 12 THEN 'm' || k || coalesce(array_to_string(list_transform(list_reverse(range(0, k)), lambda i: ' (fallback from m' || i || ')'), ''), '') END AS provider, CASE WHEN k < 12 THEN 'OK' ELSE 'FAILED' END AS outcome FROM s""",
+)
+def provider_fallback_long(spark, sf_dir):
+    """A chain of twelve that ends in a repeat: the k-th answers, or none."""
+    chain = spark.createDataFrame([(f"m{i}", True, f"m{(i + 1) % 12}") for i in range(12)], "name string, enabled boolean, fallback_to string")
+    r = scan(spark, sf_dir, "repositories").select(F.col("id").alias("request_id"), F.lit("m0").alias("start"), (F.expr(_N) % 13).alias("k"))
+    outcomes = r.select("request_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i"), "k").select("request_id", F.concat(F.lit("m"), F.col("i").cast("string")).alias("name"), (F.col("i") >= F.col("k")).alias("ok"))
+    return health.resolve_fallback(r.select("request_id", "start"), chain, outcomes)
+
+
 @REGISTRY.query(
     "queue_depth",
     """WITH c AS (SELECT date_trunc('hour', enqueued_at) AS hour, 1 AS d FROM review_messages UNION ALL SELECT date_trunc('hour', received_at), -1 FROM review_messages), h AS (SELECT hour, sum(d) AS delta FROM c WHERE hour IS NOT NULL GROUP BY 1)
@@ -206,7 +258,7 @@ def breaker_gauge(spark, sf_dir):
     return metrics.gauge(calls(spark, sf_dir), "model.circuit.state", ["provider"], metrics.breaker_value(state), ["at_ms", "call_id"])
 
 
-@REGISTRY.query("breaker_gauge_measured")
+@REGISTRY.query("breaker_gauge_measured", f"{_LAST} SELECT 'model.circuit.state' AS metric, 'provider=' || provider AS tags, CAST(CASE state WHEN 'OPEN' THEN 2 WHEN 'HALF_OPEN' THEN 1 ELSE 0 END AS DOUBLE) AS value FROM last")
 def breaker_gauge_measured(spark, sf_dir):
     """The gauge over the breakers' states after all calls."""
     return metrics.gauge(health.last_states(calls(spark, sf_dir)), "model.circuit.state", ["provider"], metrics.breaker_value(F.col("state")), ["at_ms"])

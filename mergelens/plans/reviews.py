@@ -42,6 +42,7 @@ COMMENTS = r"""raw AS (
 _TAG = "CASE WHEN severity IN ('CRITICAL', 'WARNING', 'PRAISE') THEN '[' || severity || ']' ELSE '[SUGGESTION]' END || ' **[' || upper(category) || ']** '"
 
 
+_NUMBER = "CAST(regexp_extract(id, '[0-9]+', 0) AS BIGINT)"
 #: What the request list shows.
 LISTED = [c for c in store.REQUEST_VIEW if c not in ("id", "reviews")]
 
@@ -56,9 +57,9 @@ def results(spark, sf_dir, *columns):
     return store.latest(scan(spark, sf_dir, "review_results").select("result_id", "ingested_at", *columns), ["ingested_at"], "result_id")
 
 
-def with_results(spark, sf_dir):
+def with_results(spark, sf_dir, *columns):
     children = results(spark, sf_dir, "review_request_id", "created_at", "provider", "model", "latency_ms", "input_tokens", "output_tokens").drop("ingested_at")
-    return stats.nest(requests(spark, sf_dir, "status"), children, "id", "review_request_id", "reviews", ["created_at", "result_id"])
+    return stats.nest(requests(spark, sf_dir, "status", *columns), children, "id", "review_request_id", "reviews", ["created_at", "result_id"])
 
 
 def with_replies(spark, sf_dir):
@@ -185,6 +186,23 @@ def review_posts(spark, sf_dir):
     return replies.with_comments(scan(spark, sf_dir, "model_replies")).select("reply_id", body.alias("p")).select("reply_id", "p.event", F.size("p.comments").alias("comments"))
 
 
+@REGISTRY.query(
+    "review_post_bodies",
+    f"""WITH {COMMENTS}, s AS (
+  SELECT reply_id, count(*) AS n, count(*) FILTER (WHERE severity = 'CRITICAL') AS c, count(*) FILTER (WHERE severity = 'WARNING') AS w, count(*) FILTER (WHERE severity = 'SUGGESTION') AS g,
+    string_agg({_TAG} || '`' || file_path || ':' || line_number || '` - ' || regexp_split_to_array(content, '\\r\\n|\\n|\\r')[1] || chr(10), '' ORDER BY comment_no) FILTER (WHERE comment_no <= 10) AS issues,
+    string_agg(file_path || ':' || line_number || ':RIGHT:' || {_TAG} || content || chr(10) || coalesce(chr(10) || '```suggestion' || chr(10) || suggestion || chr(10) || '```' || chr(10), ''), '|' ORDER BY comment_no) FILTER (WHERE line_number > 0) AS inline
+  FROM comments GROUP BY 1)
+SELECT reply_id, 'COMMENT' AS event, md5('**AI Code Review**' || chr(10) || chr(10) || '### Summary' || chr(10) || 'Found **' || n || ' issues** (' || c || ' Critical, ' || w || ' Warning, ' || g || ' Suggestion)' || chr(10) || chr(10) || '### Issues' || chr(10) || issues) AS body, md5(coalesce(inline, '')) AS comments FROM s""",
+)
+def review_post_bodies(spark, sf_dir):
+    """What is posted, field by field: the body, and every inline comment with its place, side and text."""
+    rows = replies.with_comments(scan(spark, sf_dir, "model_replies")).where(F.size("comments") > 0)
+    p = rows.select("reply_id", F.from_json(render.review_post(F.col("comments")), "body string, event string, comments array<struct<path:string,line:int,body:string,side:string>>").alias("p"))
+    inline = F.array_join(F.transform("p.comments", lambda c: F.concat_ws(":", c["path"], c["line"].cast("string"), c["side"], c["body"])), "|")
+    return p.select("reply_id", "p.event", F.md5("p.body").alias("body"), F.md5(inline).alias("comments"))
+
+
 @REGISTRY.query(
     "envelope_normalised",
     """SELECT reply_id, content, CASE split_part(provider, ' ', 1) WHEN 'gemini' THEN 'configured' ELSE model END AS model, split_part(provider, ' ', 1) AS provider,
@@ -237,6 +255,34 @@ def repository_list(spark, sf_dir):
     return store.view(scan(spark, sf_dir, "repositories"), store.REPOSITORY_VIEW).drop("settings")
 
 
+@REGISTRY.query(
+    "repository_views",
+    f"""SELECT id, full_name, is_active, settings.review_on_draft AS review_on_draft, settings.max_files AS max_files, array_to_string(settings.exclude_patterns, '|') AS exclude_patterns, CASE WHEN {_NUMBER} % 10 = 0 THEN 'naming|size' WHEN {_NUMBER} % 10 = 1 THEN '' ELSE 'style' END AS rules, model_preference, created_at FROM repositories""",
+)
+def repository_views(spark, sf_dir):
+    """The whole view, settings and rules included; every tenth repository's rules are replaced, every next one's emptied."""
+    n = F.expr(_NUMBER)
+    rules = lambda *names: F.array(*map(F.lit, names)).cast("array<string>")
+    base = scan(spark, sf_dir, "repositories").withColumn("review_rules", rules("style"))
+    changed = store.replace_rules(base, base.where(n % 10 < 2).select("id", F.when(n % 10 == 0, rules("naming", "size")).otherwise(rules()).alias("review_rules")))
+    seen = store.view(changed, store.REPOSITORY_VIEW)
+    return seen.select("id", "full_name", "is_active", "settings.review_on_draft", "settings.max_files", F.array_join("settings.exclude_patterns", "|").alias("exclude_patterns"), F.array_join("review_rules", "|").alias("rules"), "model_preference", "created_at")
+
+
+@REGISTRY.query(
+    "request_views",
+    f"""WITH {REQUESTS}, {RESULTS}, r AS (SELECT review_request_id, string_agg(concat_ws(':', coalesce(provider, '-'), coalesce(model, '-'), coalesce(CAST(latency_ms AS VARCHAR), '-')), '|' ORDER BY created_at, result_id) AS reviews FROM res GROUP BY 1)
+SELECT id, repository_full_name, platform_pr_id, title, author, status, coalesce(r.reviews, '') AS reviews, created_at FROM req LEFT JOIN r ON r.review_request_id = id""",
+)
+def request_views(spark, sf_dir):
+    """The whole view of requests, with their reviews in order."""
+    shown = with_results(spark, sf_dir, *[c for c in LISTED if c != "status"])
+    seen = store.view(shown, store.REQUEST_VIEW)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    each = F.transform("reviews", lambda r: F.concat_ws(":", text(r["provider"]), text(r["model"]), text(r["latency_ms"])))
+    return seen.withColumn("reviews", F.array_join(each, "|"))
+
+
 @REGISTRY.query("active_repositories", "SELECT id, full_name FROM repositories WHERE is_active")
 def active_repositories(spark, sf_dir):
     return S.find_by_active(scan(spark, sf_dir, "repositories")).select("id", "full_name")
@@ -247,7 +293,6 @@ def repository_by_name(spark, sf_dir):
     return S.find_by_full_name(scan(spark, sf_dir, "repositories"), "brackwater/monolith").select("id", "owner", "name")
 
 
-_NUMBER = "CAST(regexp_extract(id, '[0-9]+', 0) AS BIGINT)"
 
 
 @REGISTRY.query("repository_update", f"SELECT id, CASE WHEN {_NUMBER} % 10 = 0 THEN false ELSE is_active END AS is_active, CASE WHEN {_NUMBER} % 20 = 0 THEN 'gemini' ELSE model_preference END AS model_preference FROM repositories")
