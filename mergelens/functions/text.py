@@ -80,3 +80,13 @@ def severity(text: Column) -> Column:
 
 def severity_tag(value: Column) -> Column:
     return F.when(value.isin("CRITICAL", "WARNING", "PRAISE"), F.concat(F.lit("["), value, F.lit("]"))).otherwise("[SUGGESTION]")
+
+
+def instant(text: Column) -> Column:
+    """An ISO 8601 instant, with ``Z`` or an offset; null if it is none."""
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)$"), text.try_cast("timestamp"))
+
+
+def expired(expires: Column, now: Column, margin_seconds: int = 60) -> Column:
+    """Whether an instant is past, or will be within the margin; a null one is."""
+    return F.coalesce(expires <= now + F.expr(f"INTERVAL {margin_seconds} SECONDS"), F.lit(True))

@@ -12,8 +12,9 @@ from mergelens.operators import health, ingest, metrics
 from mergelens.plans.registry import Registry
 from mergelens.plans.reviews import REQUESTS, RESULTS, requests, results
 from mergelens.session import checkpoint_dir, cut_lineage, scratch
+from mergelens.sources import landed
 from mergelens.sources.tables import scan
-from mergelens.streaming import intake, status
+from mergelens.streaming import documents, intake, status
 
 REGISTRY = Registry()
 SECRET = "a shared secret of the tests"
@@ -276,3 +277,77 @@ def request_final_status(spark, sf_dir):
     logs = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     log = requests(spark, sf_dir, "status", "created_at").where("status IS NOT NULL").select(F.col("id").alias("request_id"), F.col("created_at").alias("at"), F.posexplode(logs[F.col("status")]).alias("seq", "event"))
     return status.final_status(log).select("request_id", "status")
+
+
+_EVENTS = "['enqueued', 'started', 'finished', 'empty', 'failed', 'retried']"
+
+
+@REGISTRY.query(
+    "request_status_log",
+    f"""WITH RECURSIVE {REQUESTS}, log AS (SELECT id, i AS seq, ({_EVENTS})[1 + (n // (i + 1) + n * i + i) % 6] AS event FROM (SELECT id, {_N} AS n, unnest(range(0, 12)) AS i FROM req)),
+walk(id, seq, status, moves, ignored) AS (
+  SELECT id, -1::BIGINT, NULL::VARCHAR, 0, 0 FROM req
+  UNION ALL
+  SELECT id, seq, coalesce(nxt, status), moves + CASE WHEN nxt IS NULL THEN 0 ELSE 1 END, ignored + CASE WHEN nxt IS NULL THEN 1 ELSE 0 END FROM (
+    SELECT w.id, l.seq, w.status, w.moves, w.ignored, CASE WHEN w.status IS NULL AND event = 'enqueued' THEN 'PENDING' WHEN w.status = 'PENDING' AND event = 'started' THEN 'REVIEWING' WHEN w.status = 'REVIEWING' AND event IN ('finished', 'empty') THEN 'COMPLETED'
+      WHEN w.status = 'REVIEWING' AND event = 'failed' THEN 'FAILED' WHEN w.status = 'FAILED' AND event = 'retried' THEN 'PENDING' END AS nxt FROM walk w JOIN log l ON l.id = w.id AND l.seq = w.seq + 1))
+SELECT id AS request_id, status, CAST(moves AS INTEGER) AS moves, CAST(ignored AS INTEGER) AS ignored FROM walk WHERE seq = 11""",
+)
+def request_status_log(spark, sf_dir):
+    """Logs of twelve events each that know nothing of the status, through the state machine."""
+    names = F.array(*map(F.lit, ("enqueued", "started", "finished", "empty", "failed", "retried")))
+    log = requests(spark, sf_dir, "created_at").select(F.col("id").alias("request_id"), F.col("created_at").alias("at"), F.expr(_N).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(11))).alias("seq"))
+    which = F.expr("CAST((n div (seq + 1) + n * seq + seq) % 6 AS INT)")
+    return status.final_status(log.withColumn("event", F.get(names, which))).select("request_id", "status", "moves", "ignored")
+
+
+@REGISTRY.query("landed_diffs", "SELECT prompt_id, md5(diff_content) AS digest FROM review_prompts WHERE diff_content IS NOT NULL")
+def landed_diffs(spark, sf_dir):
+    """Diffs landed as text files, and read whole."""
+    with scratch(f"{checkpoint_dir(spark)}/diffs-{uuid.uuid4().hex}") as base:
+        landed.land(scan(spark, sf_dir, "review_prompts"), "prompt_id", "diff_content", base)
+        return cut_lineage(landed.read_texts(spark, base, "prompt_id", "bigint").select("prompt_id", F.md5("text").alias("digest")))
+
+
+@REGISTRY.query(
+    "landed_file_lists",
+    """SELECT review_request_id, CAST(row_number() OVER (PARTITION BY review_request_id ORDER BY diff_id) AS INTEGER) AS file_no, file_path, status, additions, deletions, md5(patch) AS digest FROM file_diffs WHERE review_request_id IS NOT NULL""",
+)
+def landed_file_lists(spark, sf_dir):
+    """Lists of changed files landed as JSON."""
+    f = scan(spark, sf_dir, "file_diffs").where("review_request_id IS NOT NULL")
+    one = F.struct("diff_id", F.col("file_path").alias("filename"), "status", "additions", "deletions", "patch")
+    lists = f.groupBy("review_request_id").agg(F.to_json(F.array_sort(F.collect_list(one))).alias("text"))  # one request's files
+    with scratch(f"{checkpoint_dir(spark)}/lists-{uuid.uuid4().hex}") as base:
+        landed.land(lists, "review_request_id", "text", base)
+        rows = landed.changed_files(landed.read_texts(spark, base, "review_request_id"), "review_request_id")
+        return cut_lineage(rows.select("review_request_id", "file_no", "file_path", "status", "additions", "deletions", F.md5("patch").alias("digest")))
+
+
+@REGISTRY.query(
+    "stream_repository_upsert",
+    f"SELECT id, CASE WHEN {_N} % 10 = 0 THEN upper(full_name) WHEN {_N} % 10 = 1 THEN lower(full_name) ELSE full_name END AS full_name FROM repositories UNION ALL SELECT id || '-b', full_name FROM repositories WHERE {_N} % 50 = 0",
+)
+def stream_repository_upsert(spark, sf_dir):
+    """Whole documents landed in three files, upserted by a stream one after another."""
+    base = scan(spark, sf_dir, "repositories").select("id", "full_name")
+    n = F.expr(_N)
+    batches = (base.where(n % 10 == 0).select("id", F.upper("full_name").alias("full_name")), base.where(n % 50 == 0).select(F.concat("id", F.lit("-b")).alias("id"), "full_name"), base.where(n % 10 == 1).select("id", F.lower("full_name").alias("full_name")))
+    with scratch(f"{checkpoint_dir(spark)}/upsert-{uuid.uuid4().hex}") as place:
+        for batch in batches:
+            batch.coalesce(1).write.mode("append").json(f"{place}/landed")
+        base.write.parquet(f"{place}/base")
+        stream = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 1).json(f"{place}/landed")
+        documents.upsert_stream(stream, f"{place}/base", f"{place}/versions", f"{place}/state")
+        return cut_lineage(documents.current(spark, f"{place}/versions"))
+
+
+@REGISTRY.query(
+    "request_instants",
+    f"WITH {REQUESTS} SELECT id, epoch_us(created_at) AS created_us, coalesce(updated_at <= created_at + INTERVAL 60 SECONDS, true) AS expired FROM req WHERE created_at IS NOT NULL",
+)
+def request_instants(spark, sf_dir):
+    """Times written as ISO text, read back and compared with a margin of a minute."""
+    r = requests(spark, sf_dir, "created_at").where("created_at IS NOT NULL")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    return r.select("id", F.unix_micros(X.instant(iso("created_at"))).alias("created_us"), X.expired(X.instant(iso("updated_at")), F.col("created_at")).alias("expired"))
