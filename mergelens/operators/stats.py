@@ -45,14 +45,30 @@ def overview(requests: DataFrame) -> DataFrame:
     )
 
 
+def of_requests(children: DataFrame, requests: DataFrame, key: str = "review_request_id", done_only: bool = True) -> DataFrame:
+    """Flat ``children`` (reviews, replies) of ``requests``, completed ones unless told otherwise: a semi-join, nothing is nested."""
+    own = requests.where(F.col("status") == F.lit(DONE)) if done_only else requests
+    return children.join(own.select(F.col("id").alias(key)), key, "left_semi")
+
+
+def count_providers(reviews: DataFrame) -> DataFrame:
+    """Flat reviews by provider, the name before any note."""
+    return reviews.groupBy(X.provider_name(F.col("provider")).alias("provider")).agg(F.count(F.lit(1)).alias("reviews"))
+
+
+def count_categories(comments: DataFrame) -> DataFrame:
+    """Flat comments by category as it stands."""
+    return comments.groupBy("category").agg(F.count(F.lit(1)).alias("comments"))
+
+
 def by_provider(requests: DataFrame) -> DataFrame:
-    """Reviews of completed requests by provider, the name before any note."""
-    return reviews(requests).groupBy(X.provider_name(F.col("provider")).alias("provider")).agg(F.count(F.lit(1)).alias("reviews"))
+    """Reviews of completed requests by provider, from nested requests."""
+    return count_providers(reviews(requests))
 
 
 def by_category(requests: DataFrame) -> DataFrame:
-    """Comments of reviews of completed requests by category as it stands."""
-    return reviews(requests).select(F.explode("comments").alias("c")).groupBy(F.col("c.category").alias("category")).agg(F.count(F.lit(1)).alias("comments"))
+    """Comments of reviews of completed requests by category, from nested requests."""
+    return count_categories(reviews(requests).select(F.explode("comments").alias("c")).select("c.category"))
 
 
 def statistics(requests: DataFrame, comments: DataFrame | None = None) -> DataFrame:
@@ -61,18 +77,22 @@ def statistics(requests: DataFrame, comments: DataFrame | None = None) -> DataFr
     ``comments`` (``category``), those of completed requests, are taken from the reviews unless given. Null providers aren't keys of the map. The maps have an entry per provider and category."""
     as_map = lambda df, k, v, name: df.where(F.col(k).isNotNull()).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(k, v)))).alias(name)).withColumn("one", F.lit(1))
     providers = as_map(by_provider(requests), "provider", "reviews", "reviews_by_provider")
-    found = by_category(requests) if comments is None else comments.groupBy("category").agg(F.count(F.lit(1)).alias("comments"))
+    found = by_category(requests) if comments is None else count_categories(comments)
     categories = as_map(found, "category", "comments", "issues_by_category")
     return overview(requests).withColumn("one", F.lit(1)).join(providers, "one").join(categories, "one").drop("one")
 
 
-def token_usage(requests: DataFrame) -> DataFrame:
-    """Tokens by provider and direction over all reviews."""
-    flat = reviews(requests, done_only=False)
-    usage = flat.groupBy(X.provider_name(F.col("provider")).alias("provider")).agg(F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output"))
+def count_tokens(reviews: DataFrame) -> DataFrame:
+    """Tokens of flat reviews by provider and direction."""
+    usage = reviews.groupBy(X.provider_name(F.col("provider")).alias("provider")).agg(F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output"))
     return usage.unpivot("provider", ["input", "output"], "direction", "tokens")
 
 
+def token_usage(requests: DataFrame) -> DataFrame:
+    """Tokens by provider and direction over all reviews, from nested requests."""
+    return count_tokens(reviews(requests, done_only=False))
+
+
 def request_outcomes(requests: DataFrame) -> DataFrame:
     """Per request with reviews: token sums, whether any review fell back, and provider and model of the last one."""
     r = F.col("reviews")

@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from mergelens.operators import diff, envelopes, pipeline, render, stats, store
+from mergelens.operators import diff, envelopes, pipeline, render, replies, stats, store
 from mergelens.plans.diffs import _EXCLUDED, LINES
 from mergelens.plans.operations import _providers
 from mergelens.plans.registry import Registry
-from mergelens.plans.reviews import _TAG, COMMENTS, REQUESTS, RESULTS, requests, with_replies, with_results
+from mergelens.plans.reviews import _TAG, COMMENTS, REQUESTS, RESULTS, requests, with_results
 from mergelens.session import checkpoint_dir, scratch
 from mergelens.sources.tables import scan
 from mergelens.streaming import worker
@@ -43,12 +43,12 @@ def review_requests(spark, sf_dir):
 
 def recorded_calls(spark, sf_dir, own):
     """A call of either provider for each file; every fifth reply stands for a failed one."""
-    replies = scan(spark, sf_dir, "model_replies").select("reply_id", "content", "model", "input_tokens", "output_tokens")
-    n = replies.count()
+    recorded = scan(spark, sf_dir, "model_replies").select("reply_id", "content", "model", "input_tokens", "output_tokens")
+    n = recorded.count()
     files = diff.diff_files(own.select("id", "prompt_id", "raw_diff"), "raw_diff", ["id", "prompt_id"]).select("id", "prompt_id", "chunk")
     each = files.select("id", "chunk", "prompt_id", F.posexplode(F.array(*map(F.lit, _NAMES))).alias("at", "name"))
     each = each.withColumn("k", F.pmod(F.col("prompt_id") * 7 + F.col("chunk") * 3 + F.col("at"), F.lit(max(1, n))) + 1).withColumn("wanted", F.concat(F.lit("reply-"), F.col("k").cast("string")))
-    got = each.join(replies, F.col("wanted") == F.col("reply_id"), "left")
+    got = each.join(recorded, F.col("wanted") == F.col("reply_id"), "left")
     return got.select("id", "chunk", "name", F.when(F.col("k") % 5 != 0, F.col("content")).alias("content"), "model", "input_tokens", "output_tokens", (F.coalesce("output_tokens", F.lit(0)) * 20 + 100).alias("latency_ms"))
 
 
@@ -195,7 +195,7 @@ SELECT (SELECT count(*) FROM req) AS total_reviews, (SELECT count(*) FROM req WH
 )
 def statistics_row(spark, sf_dir):
     """The statistics row with both maps, as text in the order of their keys."""
-    own = with_results(spark, sf_dir).join(with_replies(spark, sf_dir).select(F.col("id").alias("r"), F.transform("reviews", lambda x: x["comments"]).alias("found")), F.col("id") == F.col("r")).drop("r")
-    row = stats.statistics(own.withColumn("reviews", F.transform("reviews", lambda x: x.withField("comments", F.array().cast(pipeline.comments_type())))), own.select(F.explode(F.flatten("found")).alias("c"), "status").where("status = 'COMPLETED'").select("c.*"))
+    comments = replies.explode_comments(replies.with_comments(stats.of_requests(scan(spark, sf_dir, "model_replies").select("reply_id", "review_request_id", "content"), requests(spark, sf_dir, "status"))), ["reply_id"])
+    row = stats.statistics(with_results(spark, sf_dir), comments)
     text = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",").alias(m)
     return row.select("total_reviews", "completed_reviews", "failed_reviews", "avg_latency_ms", text("reviews_by_provider"), text("issues_by_category"))

@@ -79,12 +79,13 @@ def stats_summary(spark, sf_dir):
 
 @REGISTRY.query("stats_by_provider", f"WITH {REQUESTS}, {RESULTS} SELECT split_part(provider, ' ', 1) AS provider, count(*) AS reviews FROM res JOIN req ON req.id = res.review_request_id WHERE status = 'COMPLETED' GROUP BY 1")
 def stats_by_provider(spark, sf_dir):
-    return stats.by_provider(with_results(spark, sf_dir))
+    return stats.count_providers(stats.of_requests(results(spark, sf_dir, "review_request_id", "provider"), requests(spark, sf_dir, "status")))
 
 
 @REGISTRY.query("stats_by_category", f"WITH {REQUESTS}, {COMMENTS} SELECT category, count(*) AS comments FROM comments JOIN req ON req.id = comments.review_request_id WHERE status = 'COMPLETED' GROUP BY 1")
 def stats_by_category(spark, sf_dir):
-    return stats.by_category(with_replies(spark, sf_dir))
+    own = stats.of_requests(scan(spark, sf_dir, "model_replies").select("reply_id", "review_request_id", "content"), requests(spark, sf_dir, "status"))
+    return stats.count_categories(replies.explode_comments(replies.with_comments(own), ["reply_id"]))
 
 
 @REGISTRY.query(
@@ -93,7 +94,7 @@ def stats_by_category(spark, sf_dir):
 SELECT provider, 'input' AS direction, CAST(i AS BIGINT) AS tokens FROM u UNION ALL SELECT provider, 'output', CAST(o AS BIGINT) FROM u""",
 )
 def token_usage_by_provider(spark, sf_dir):
-    return stats.token_usage(with_results(spark, sf_dir))
+    return stats.count_tokens(stats.of_requests(results(spark, sf_dir, "review_request_id", "provider", "input_tokens", "output_tokens"), requests(spark, sf_dir), done_only=False))
 
 
 @REGISTRY.query(
