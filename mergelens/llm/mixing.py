@@ -94,9 +94,14 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
         .withColumn("repeat_no", F.explode(F.sequence(F.lit(1), rounds.cast("int"))))
         .withColumn("finish", ((F.col("repeat_no") - 1) * F.col("source_tokens") + F.col("upto")) / F.col("share"))
     )
-    spans = spark.createDataFrame([(p, max(x[6] / x[2] for x in settings if x[0] == p)) for p in sorted({x[0] for x in settings})], "plan string, last double")
+    # uses up to a time, as each source gives them evenly until it ends: buckets of equal share however early a source runs out
+    def pace(plan: str) -> list[tuple[float, float]]:
+        return [(x[6] / x[2], totals[x[1]].docs * x[2] / x[5]) for x in settings if x[0] == plan]
+
+    paces = spark.createDataFrame([(p, pace(p), sum(end * rate for end, rate in pace(p))) for p in sorted({x[0] for x in settings})], "plan string, paces array<struct<end:double,rate:double>>, all_uses double")
     parts = max(1, int(uses) // BUCKET_ROWS)
-    used = used.join(spans, "plan").withColumn("time_bucket", F.floor(F.col("finish") / F.col("last") * parts))
+    so_far = F.aggregate("paces", F.lit(0.0), lambda n, p: n + F.least(F.col("finish"), p["end"]) * p["rate"])
+    used = used.join(paces, "plan").withColumn("time_bucket", F.floor(so_far / F.col("all_uses") * parts)).drop("paces", "all_uses")
     ordered = _running(used, ["plan"], "time_bucket", ["finish", "source", "doc_id", "shuffled", "repeat_no"], "tokens", "mix_end")
     return ordered.where(F.col("mix_end") <= F.col("budget")).select("plan", "source", "doc_id", "repeat_no", "tokens", "mix_end")
 
@@ -114,3 +119,19 @@ def mix_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
 def token_sizes(documents: DataFrame, count) -> DataFrame:
     """``doc_id``, ``source`` and ``tokens`` of all documents, encoded once and kept in the shared folder."""
     return cut_lineage(documents.select("doc_id", "source", count(F.col("text")).alias("tokens")))
+
+
+def mix_check(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per plan with a mix: whether it keeps to its budget (``budget_kept``), no source goes round more often than it
+    may (``caps_kept``), and sources that didn't run out have tokens in proportion to their targets, to within two of
+    their largest documents (``shares_kept``)."""
+    corpus = sizes.agg(F.sum("tokens").alias("corpus"))
+    most = sizes.where("tokens > 0").groupBy("source").agg(F.max("tokens").alias("largest"), F.sum("tokens").alias("own"))
+    got = mixed.groupBy("plan", "source").agg(F.sum("tokens").alias("got"), F.max("repeat_no").alias("rounds"), F.max("mix_end").alias("end"))
+    rows = targets.where("target_share > 0 AND max_repeats > 0 AND size_ratio > 0").join(most, "source").join(got, ["plan", "source"], "left").crossJoin(corpus)  # one row
+    time, slack = F.coalesce("got", F.lit(0)) / F.col("target_share"), 2 * F.col("largest") / F.col("target_share")
+    ran_out = F.coalesce("got", F.lit(0)) >= F.col("own") * F.col("max_repeats")
+    every = F.max(time).over(Window.partitionBy("plan"))
+    loose = F.max(slack).over(Window.partitionBy("plan"))
+    rows = rows.withColumn("fair", ran_out | (time >= every - slack - loose)).withColumn("within", F.col("end").isNull() | (F.col("end") <= F.floor(F.col("corpus") * F.col("size_ratio"))))
+    return rows.groupBy("plan").agg(F.bool_and("within").alias("budget_kept"), F.bool_and(F.coalesce(F.col("rounds") <= F.col("max_repeats"), F.lit(True))).alias("caps_kept"), F.bool_and("fair").alias("shares_kept"))

@@ -3,14 +3,16 @@
 A summary is a list of kept values with three counts each: items up to the value, at
 least and at most, and items below it, at most. Fresh summaries are exact; merging adds the
 intervals of neighbours, so the rank error stays the same part of the count; only
-compression spends from the permitted error, a share on each level of the hierarchy.
-Python tasks build one summary per group and slice of their input; slices are merged
-64 at a time, so no task ever gets a whole group, however large. Tasks stream over
-sorted summaries and hold those of one group at a time.
+compression spends from the permitted error, a share on each level of the hierarchy and
+one for longer spans. Python tasks build one summary per group and slice of their input;
+slices are merged about 64 at a time, on as many levels as their number asks for, so no
+task ever gets a whole group, however large. Tasks stream over sorted summaries and
+hold those of one bucket at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Permitted rank error of the daily summaries, as a part of the count.
-EPSILON = 0.001
-#: Summaries merged at once, levels of merging after the leaves, and values a leaf buffers.
-FAN, LEVELS, BUFFER = 64, 2, 1_000_000
+from mergelens.session import cut_lineage, ship
+
+#: Permitted rank error as a part of the count: of any summary, of one before it is combined, and of a leaf.
+EPSILON, PART, LEAF = 0.001, 0.00075, 0.00025
+#: Summaries merged at once, on average, and values a leaf buffers.
+FAN, BUFFER = 64, 1_000_000
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 #: Kept values, items up to each (at least, at most), items below each (at most).
@@ -81,7 +85,7 @@ def quantile(s: Summary, n: int, q: float) -> tuple[int, int]:
     return int(values[at]), int(error[at])
 
 
-def summaries(df: DataFrame, keys: list[str], value: str, epsilon: float = EPSILON, fan: int = FAN, levels: int = LEVELS, buffer: int = BUFFER) -> DataFrame:
+def summaries(df: DataFrame, keys: list[str], value: str, epsilon: float = PART, fan: int = FAN, buffer: int = BUFFER) -> DataFrame:
     """One summary per ``keys``: ``n``, ``kept``, ``at_least``, ``at_most``, ``below``.
 
     Null and negative values don't count; null keys are a group of their own; ties and
@@ -93,7 +97,8 @@ def summaries(df: DataFrame, keys: list[str], value: str, epsilon: float = EPSIL
     data = df.select(*[F.col(k).alias(a) for k, a in zip(keys, names)], F.col(value).cast("bigint").alias("value")).where("value >= 0").withColumn("task", F.spark_partition_id())
     fields = {f.name: f.dataType for f in data.schema}
     schema = T.StructType([T.StructField(a, fields[a]) for a in names] + [T.StructField("slice", T.LongType()), T.StructField("n", T.LongType())] + [T.StructField(c, T.ArrayType(T.LongType())) for c in COLUMNS])
-    share = epsilon / (levels + 1)
+    leaf = epsilon * LEAF / PART
+    ship(df.sparkSession)
 
     def flush(parts: list[pd.DataFrame], slices: list[int]) -> pd.DataFrame:
         whole = pd.concat(parts, ignore_index=True)
@@ -101,7 +106,7 @@ def summaries(df: DataFrame, keys: list[str], value: str, epsilon: float = EPSIL
         for key, own in whole.groupby(names, dropna=False, sort=True):
             key = [None if pd.isna(k) else k for k in key]
             got = own["value"].to_numpy(dtype=np.int64)
-            out.append((*key, slices[0], len(got), *compress(exact(got), share * len(got))))
+            out.append((*key, _mixed(slices[0]), len(got), *compress(exact(got), leaf * len(got))))
         slices[0] += 1
         return pd.DataFrame(out, columns=schema.names)
 
@@ -110,7 +115,7 @@ def summaries(df: DataFrame, keys: list[str], value: str, epsilon: float = EPSIL
         for frame in frames:
             if not len(frame):
                 continue
-            slices = slices or [int(frame["task"].iloc[0])]
+            slices = slices or [int(frame["task"].iloc[0]) << 32]
             parts.append(frame)
             rows += len(frame)
             if rows >= buffer:
@@ -119,14 +124,22 @@ def summaries(df: DataFrame, keys: list[str], value: str, epsilon: float = EPSIL
         if parts:
             yield flush(parts, slices)
 
-    level = data.mapInPandas(leaves, schema)
-    for step in range(levels):
-        last = step == levels - 1
-        level = level.withColumn("slice", F.lit(0).cast("bigint") if last else F.floor(F.col("slice") / fan).cast("bigint"))
-        level = _merged(level, [*names, "slice"], schema, share * (step + 2))
+    level = cut_lineage(data.mapInPandas(leaves, schema))
+    most = level.groupBy(*names).count().agg(F.max("count")).first()[0] if names else level.count()
+    steps = []  # buckets on each level, down to one
+    while not steps or steps[-1] > 1:
+        steps.append(max(1, math.ceil((steps[-1] if steps else most or 1) / fan)))
+    for i, buckets in enumerate(steps):
+        level = level.withColumn("slice", F.pmod("slice", F.lit(buckets)) if i == 0 else F.floor(F.col("slice") / fan).cast("bigint"))
+        level = _merged(level, [*names, "slice"], schema, leaf + (epsilon - leaf) * (i + 1) / len(steps))
     return level.drop("slice").toDF(*keys, "n", *COLUMNS)
 
 
+def _mixed(n: int) -> int:
+    """A number that spreads tasks and their buffers over buckets alike."""
+    return (n * 0x9E3779B97F4A7C15 & (2**64 - 1)) >> 33
+
+
 def _merged(df: DataFrame, names: list[str], schema: T.StructType, permitted: float) -> DataFrame:
     def join(key: tuple, rows: list[tuple]) -> tuple:
         if len(rows) == 1:
@@ -156,21 +169,25 @@ def _merged(df: DataFrame, names: list[str], schema: T.StructType, permitted: fl
     return df.select(*schema.names).repartition(*names).sortWithinPartitions(*names).mapInPandas(stream, schema)
 
 
-def combine(parts: DataFrame, keys: list[str], through: list | None = None) -> DataFrame:
-    """Summaries of ``keys`` from those of shorter spans; nothing is compressed, so the
-    rank error stays the same part of the count. ``through`` are expressions of spans
-    in between (months, say) that bound how many summaries meet in a task."""
-    out = parts
-    for spans in ([through, []] if through else [[]]):
-        named = [e.alias(f"span_{i}") for i, e in enumerate(spans)]
+def combine(parts: DataFrame, keys: list[str], through: list | None = None, epsilon: float = EPSILON, within: float = PART) -> DataFrame:
+    """Summaries of ``keys`` from those of shorter spans with a rank error of ``within`` at most.
+
+    Merging keeps the error the same part of the count, and what ``epsilon`` permits
+    beyond it is spent on compression, so a long span's summary doesn't grow with the
+    number of its days. ``through`` are expressions of spans in between (months, say)
+    that bound how many summaries meet in a task."""
+    ship(parts.sparkSession)
+    out, spans = parts, ([through, []] if through else [[]])
+    for i, own in enumerate(spans):
+        named = [e.alias(f"span_{k}") for k, e in enumerate(own)]
         sub = out.select(*keys, *named, "n", *COLUMNS)
-        names = sub.columns[: len(keys) + len(named)]
-        out = _merged(sub, names, sub.schema, 0.0)
+        out = _merged(sub, sub.columns[: len(keys) + len(named)], sub.schema, within + (epsilon - within) * (i + 1) / len(spans))
     return out.select(*keys, "n", *COLUMNS)
 
 
 def percentiles(parts: DataFrame, keys: list[str], quantiles: dict[str, float] | None = None) -> DataFrame:
     """``keys``, ``n``, a column per quantile, and ``max_rank_error``: the bound, in ranks, that holds for all of them."""
+    ship(parts.sparkSession)
     wanted = quantiles or QUANTILES
     result = T.StructType([T.StructField(k, T.LongType()) for k in (*wanted, "max_rank_error")])
 

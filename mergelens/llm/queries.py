@@ -18,6 +18,19 @@ def p1_found(spark, sf_dir):
     return generated_files.classify_files(files).where(F.col("file_class").isin(*generated_files.FOUND)).select("diff_id").distinct()
 
 
+@REGISTRY.query(
+    "p1_counts",
+    """SELECT count(*) AS files, count(*) FILTER (WHERE patch IS NULL) AS no_patch, count(*) FILTER (WHERE patch IS NOT NULL AND regexp_matches(lower(trim(file_path)), '(^|/)(package-lock\\.json|yarn\\.lock|pnpm-lock\\.yaml|go\\.sum|poetry\\.lock|gemfile\\.lock)$')) AS lockfiles, true AS parted FROM file_diffs""".replace("\\\\", "\\"),
+)
+def p1_counts(spark, sf_dir):
+    """Files in all, without a patch, and lock files of six names that have their class; every file has one class, and found ones are those not written by hand."""
+    files = scan(spark, sf_dir, "file_diffs").select("diff_id", "file_path", "patch")
+    kind = F.col("file_class")
+    lock = F.lower(F.trim("file_path")).rlike(r"(^|/)(package-lock\.json|yarn\.lock|pnpm-lock\.yaml|go\.sum|poetry\.lock|gemfile\.lock)$")
+    parted = kind.isin(*generated_files.FOUND).cast("int") + (kind == "hand_written").cast("int") + (kind == "no_patch").cast("int") == 1
+    return generated_files.classify_files(files).agg(F.count(F.lit(1)).alias("files"), F.count_if(kind == "no_patch").alias("no_patch"), F.count_if(lock & (kind == "lockfile")).alias("lockfiles"), F.bool_and(parted).alias("parted"))
+
+
 @REGISTRY.query("p1_classes")
 def p1_classes(spark, sf_dir):
     files = scan(spark, sf_dir, "file_diffs").select("diff_id", "file_path", "patch")
@@ -142,6 +155,13 @@ def p8_report(spark, sf_dir):
     return mixing.mix_report(_mix(spark, sf_dir), scan(spark, sf_dir, "mix_targets"))
 
 
+@REGISTRY.query("p8_checked", "SELECT DISTINCT plan, true AS budget_kept, true AS caps_kept, true AS shares_kept FROM mix_targets JOIN documents USING (source) WHERE target_share > 0 AND max_repeats > 0 AND size_ratio > 0 AND text <> ''")
+def p8_checked(spark, sf_dir):
+    sizes = mixing.token_sizes(scan(spark, sf_dir, "documents"), tokens.count_column)
+    targets = scan(spark, sf_dir, "mix_targets")
+    return mixing.mix_check(cut_lineage(mixing.mix(sizes, targets)), sizes, targets)
+
+
 def _truncation(spark, sf_dir):
     return truncation.detect_truncation(truncation.review_texts(scan(spark, sf_dir, "review_requests"), scan(spark, sf_dir, "model_replies")))
 
@@ -156,6 +176,21 @@ def p3_rates(spark, sf_dir):
     return truncation.truncation_rates(_truncation(spark, sf_dir))
 
 
+@REGISTRY.query(
+    "p3_sources",
+    """WITH t AS (SELECT DISTINCT 'pr_body' AS field, id AS row_id, intake AS source FROM review_requests UNION ALL SELECT DISTINCT 'content', reply_id, nullif(split_part(trim(provider), ' ', 1), '') FROM model_replies)
+SELECT field, source, count(*) AS texts, true AS sums FROM t GROUP BY 1, 2""",
+)
+def p3_sources(spark, sf_dir):
+    """Texts of each source in the rates, and whether the rate is that of the found texts counted one by one."""
+    judged = cut_lineage(_truncation(spark, sf_dir))
+    found = judged.where("truncated").select("field", "row_id", "source").distinct().groupBy("field", "source").agg(F.count(F.lit(1)).alias("found"))
+    rates = truncation.truncation_rates(judged)
+    same = (F.col("r.field") == F.col("f.field")) & F.col("r.source").eqNullSafe(F.col("f.source"))
+    sums = (F.col("cut") == F.coalesce("found", F.lit(0))) & (F.abs(F.col("rate") * F.col("texts") - F.col("cut")) < 0.5)
+    return rates.alias("r").join(found.alias("f"), same, "left").select("r.field", "r.source", "texts", sums.alias("sums"))
+
+
 def _levels(spark, sf_dir):
     return reading.reading_levels(scan(spark, sf_dir, "documents"), scan(spark, sf_dir, "reading_samples"))
 
@@ -165,6 +200,20 @@ def p9_found(spark, sf_dir):
     return _levels(spark, sf_dir).where("band = 'demanding'").select("doc_id").distinct()
 
 
+@REGISTRY.query("p9_languages", "SELECT lang, count(*) AS documents, count(*) FILTER (WHERE text IS NULL OR NOT regexp_matches(text, '\\p{L}')) AS without, true AS in_band FROM documents GROUP BY 1".replace("\\\\", "\\"))
+def p9_languages(spark, sf_dir):
+    """Documents per language as written, those without a letter that have no score, and whether all other scores lie in their band."""
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    levels = _levels(spark, sf_dir).join(scan(spark, sf_dir, "documents").select("doc_id", "lang", lettered.alias("lettered")), "doc_id")
+    order = F.when(F.col("band") == "basic", 0).when(F.col("band") == "standard", 1).when(F.col("band") == "demanding", 2)
+    spans = levels.groupBy("lang", order.alias("o")).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("lettered") & F.col("score").isNull()).alias("without"), F.min("score").alias("low"), F.max("score").alias("high"))
+    each = spans.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("o", "low", "high", "n", "without"))).alias("b"))  # three bands and none
+    ranked = F.filter("b", lambda x: x["o"].isNotNull())
+    rising = F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(ranked) - 1)), lambda i: F.coalesce(F.get(ranked, i - 1)["high"] < F.get(ranked, i)["low"], F.lit(True)))
+    total = lambda field: F.aggregate("b", F.lit(0).cast("bigint"), lambda a, x: a + x[field])
+    return each.select("lang", total("n").alias("documents"), total("without").alias("without"), rising.alias("in_band"))
+
+
 @REGISTRY.query("p9_profile")
 def p9_profile(spark, sf_dir):
     """Documents and mean score per language as written and band."""

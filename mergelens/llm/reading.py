@@ -238,7 +238,8 @@ def _sample_nodes(samples: DataFrame, text: str, band: str, size: int = NODES) -
 def reading_levels(documents: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text", sample_text: str = "text", sample_band: str = "band", size: int | None = None) -> DataFrame:
     """``key``, ``score`` (0 basic to 1 demanding) and ``band`` of each document.
 
-    Null and blank texts, and texts without a letter, get null score and band. Equal
+    Null and blank texts, texts without a letter, and those none of whose words leads to
+    a sample, over any number of documents, get null score and band. Equal
     texts get equal scores; repeated rows stay. ``MOST_SAMPLES`` graded samples are
     read at most; without samples of all bands an error is raised. An empty table gives
     no rows. Other columns are ignored. ``size`` is the number of word nodes, else

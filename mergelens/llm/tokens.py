@@ -16,10 +16,13 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mergelens.session import ship
+
 #: Folder of the public vocabulary files; they are read there and never copied.
 VOCABULARIES = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -185,13 +188,22 @@ def vocabulary_path(folder: str | None = None, name: str = VOCABULARY) -> str:
     return os.path.join(folder or VOCABULARIES, name)
 
 
+def send_vocabulary(path: str | None = None) -> str:
+    """Gives the vocabulary file, which only the driver need have, to all executors; its name there."""
+    spark = SparkSession.active()
+    ship(spark)
+    where = path or vocabulary_path()
+    spark.sparkContext.addFile(where)
+    return os.path.basename(where)
+
+
 def encode_column(text: Column, path: str | None = None) -> Column:
     """Token ids of ``text`` as ``array<int>``; an empty list for empty and null texts."""
-    where = path or vocabulary_path()
+    name = send_vocabulary(path)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = encoder(where)
+        coder = encoder(SparkFiles.get(name))
         for texts in batches:
             yield pd.Series([x.astype(np.int32) for x in coder.encode(texts.tolist())], dtype=object)
 
@@ -200,11 +212,11 @@ def encode_column(text: Column, path: str | None = None) -> Column:
 
 def count_column(text: Column, path: str | None = None) -> Column:
     """Number of tokens of ``text`` as bigint; 0 for empty and null texts."""
-    where = path or vocabulary_path()
+    name = send_vocabulary(path)
 
     @F.pandas_udf(T.LongType())
     def n(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = encoder(where)
+        coder = encoder(SparkFiles.get(name))
         for texts in batches:
             yield pd.Series([len(x) for x in coder.encode(texts.tolist())], dtype="int64")
 

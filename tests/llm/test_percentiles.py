@@ -40,8 +40,8 @@ def test_hierarchy_in_spark(spark):
     rows = list(zip(["hot" if i % 10 else "cold" for i in range(len(lat))], day, lat.tolist()))
     rows += [(None, day[0], 7), ("cold", None, 8), ("cold", day[0], None), ("cold", day[0], -5), ("none", day[0], -1)]
     df = spark.createDataFrame(rows, "provider string, day date, latency_ms bigint").withColumn("value", F.lit("x")).withColumn("n", F.lit(0)).repartition(7)
-    daily = P.summaries(df, ["provider", "day"], "latency_ms", epsilon=0.01, fan=3, levels=3, buffer=500)
-    total = P.combine(daily, ["provider"], [F.trunc("day", "month")])
+    daily = P.summaries(df, ["provider", "day"], "latency_ms", epsilon=0.01, fan=3, buffer=500)
+    total = P.combine(daily, ["provider"], [F.trunc("day", "month")], epsilon=0.01, within=0.01)
     got = {r.provider: r for r in P.percentiles(total, ["provider"]).collect()}
     assert set(got) == {"hot", "cold", None}
     for name in ("hot", "cold"):
@@ -58,3 +58,19 @@ def test_an_id_counts_once(spark):
     rows = [(1, "a (fallback from b)", ts, 5), (1, "a (fallback from b)", ts, 5), (None, "a", ts, 6), (None, "a", ts, 6), (2, None, ts, None)]
     df = spark.createDataFrame(rows, "result_id bigint, provider string, created_at timestamp, latency_ms bigint")
     assert sorted((r.provider or "", r.latency_ms or 0) for r in P.call_latencies(df).collect()) == [("", 0), ("a", 5), ("a", 6), ("a", 6)]
+
+
+def test_long_spans_stay_small_and_within_their_bound(spark):
+    """Summaries of three hundred days combine into one that has grown little, and whose bound still holds."""
+    rng = np.random.default_rng(3)
+    lat = rng.lognormal(8, 1, 60_000).astype(int)
+    df = spark.createDataFrame([("p", int(d), int(v)) for d, v in zip(rng.integers(0, 300, len(lat)), lat)], "provider string, day int, latency_ms bigint").repartition(5)
+    daily = P.summaries(df, ["provider", "day"], "latency_ms", epsilon=0.01, buffer=4_000).cache()
+    row = P.combine(daily, ["provider"], [F.floor(F.col("day") / 30)], epsilon=0.012, within=0.01).first()
+    assert row.n == len(lat) and len(row.kept) < 1 / (0.012 - 0.01)
+    got = P.percentiles(P.combine(daily, ["provider"], epsilon=0.012, within=0.01), ["provider"]).first()
+    assert got.max_rank_error <= np.ceil(0.012 * len(lat))
+    lat.sort()
+    for name, q in P.QUANTILES.items():
+        rank, value = int(np.ceil(q * len(lat))), got[name]
+        assert np.searchsorted(lat, value) + 1 - got.max_rank_error <= rank <= np.searchsorted(lat, value, "right") + got.max_rank_error
