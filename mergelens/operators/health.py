@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mergelens.errors import InvalidRequest
+
 #: Settings of the breaker.
 WINDOW, LEAST_CALLS, FAILURE_RATE, SLOW_RATE, SLOW_MS, WAIT_MS, TRIALS = 20, 10, 0.5, 0.8, 30_000, 60_000, 5
 
@@ -147,7 +149,7 @@ def fallback_chains(spark: SparkSession, providers: DataFrame) -> DataFrame:
     chain, to its end, a disabled or unknown provider, or a repeat."""
     rows = providers.select("name", "enabled", "fallback_to").limit(MOST_PROVIDERS + 1).collect()  # a settings table
     if len(rows) > MOST_PROVIDERS:
-        raise ValueError(f"more than {MOST_PROVIDERS} providers")
+        raise InvalidRequest(f"more than {MOST_PROVIDERS} providers")
     config = {r.name: r for r in rows}
     chains = []
     for start in config:

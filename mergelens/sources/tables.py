@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mergelens.errors import InvalidRequest
+
 
 def scan(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Full scan of one table; columns and filters are pruned by the reader."""
@@ -45,7 +47,7 @@ def parse_status(text: str) -> str:
     """Upper-cases a status literal; an unknown one raises."""
     status = text.upper()
     if status not in STATUSES:
-        raise ValueError(f"unknown status {text!r}; one of {', '.join(STATUSES)}")
+        raise InvalidRequest(f"unknown status {text!r}; one of {', '.join(STATUSES)}")
     return status
 
 

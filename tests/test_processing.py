@@ -4,10 +4,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from mergelens.errors import EngineError, NotFound, report
 from mergelens.functions import signature
 from mergelens.functions import text as X
 from mergelens.operators import health, ingest, pipeline
 from mergelens.sources import landed, queue
+from mergelens.sources.tables import parse_status
 from mergelens.streaming import documents, worker
 
 BLOCK = "diff --git a/{0} b/{0}\n+++ b/{0}\n@@ -1 +1 @@\n+x\n"
@@ -118,3 +120,11 @@ def test_instants(spark):
     now = F.lit("2024-05-06 07:07:30").cast("timestamp")
     assert [r.e for r in df.select(X.expired(X.instant(F.col("t")), now).alias("e")).collect()] == [True, True, True, True]
     assert df.select(X.expired(X.instant(F.col("t")), now, 10).alias("e")).first().e is False
+
+
+def test_errors_are_reported_by_class():
+    with pytest.raises(ValueError) as e:
+        parse_status("lost")
+    assert report(e.value)["status"] == 400 and "lost" in report(e.value)["message"]
+    assert report(NotFound("no such request", "R1")) == {"status": 404, "error": "Not Found", "message": "no such request", "code": "R1"}
+    assert report(KeyError("secret detail")) == report(EngineError("An unexpected error occurred"))
